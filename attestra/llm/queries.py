@@ -1,9 +1,11 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
 from attestra.llm.chat_format import OP1_SQL, op1_chat_formatting
+from attestra.llm.pii import op2_pii
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_pii": op2_pii,
 }
 
 ORACLES = {
