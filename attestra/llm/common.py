@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ from pyspark.sql import functions as F
 SPACE = " \t-\r"
 
 
+def ship(module: str) -> None:
+    """Functions of this module go to the executors with their code, which then need no copy of the library."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,13 +1,21 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
 from attestra.llm.chat_format import OP1_SQL, op1_chat_formatting
+from attestra.llm.decontaminate import OP6_SQL, op6_decontaminate
+from attestra.llm.line_dedup import OP5_SQL, op5_line_dedup
 from attestra.llm.pii import op2_pii
+from attestra.llm.secret_scan import op4_secret_scan
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_pii": op2_pii,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_decontaminate": op6_decontaminate,
 }
 
 ORACLES = {
     "op1_chat_formatting": OP1_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op6_decontaminate": OP6_SQL,
 }
