@@ -60,26 +60,29 @@ def chosen_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     level = nodes.join(ids, ["tree_id", "parent_id"], "left").select(
         "tree_id", "msg_id", F.when(F.col("known").isNotNull(), F.col("parent_id")).alias("up"), F.lit(1).alias("steps"), F.col("score").cast("double").alias("total"))
     level = written(level, "chat-up")
-    jumps = [level]
-    open_nodes = level.where("up is not null").count()
-    # what doubling cannot empty within log2 of the open nodes hangs on a cycle
-    rounds = max(1, open_nodes.bit_length() + 1)
-    while open_nodes and len(jumps) <= rounds:
-        above = level.select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
-        level = level.join(above, ["tree_id", "up"], "left").select(
-            "tree_id", "msg_id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
+    ended = level.where("up is null")
+    open_rows = level.where("up is not null")
+    jumps = [open_rows]
+    left = open_rows.count()
+    rounds = left.bit_length() + 1  # what doubling leaves after that hangs on a cycle
+    while left and len(jumps) <= rounds:
+        above = ended.unionByName(open_rows).select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
+        level = open_rows.join(above, ["tree_id", "up"]).select(
+            "tree_id", "msg_id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("total") + F.col("total2")).alias("total"))
         level = written(level, "chat-up")
-        jumps.append(level)
-        open_nodes = level.where("up is not null").count()
-    parents = jumps[0].where("up is not null").select("tree_id", F.col("up").alias("msg_id")).distinct()
-    leaves = level.where("up is null").join(parents, ["tree_id", "msg_id"], "left_anti")
+        ended = ended.unionByName(level.where("up is null"))
+        open_rows = level.where("up is not null")
+        jumps.append(open_rows)
+        left = open_rows.count()
+    parents = jumps[0].select("tree_id", F.col("up").alias("msg_id")).distinct()
+    leaves = ended.join(parents, ["tree_id", "msg_id"], "left_anti")
     order = Window.partitionBy("tree_id").orderBy(F.desc(F.col("total") / F.col("steps")), "msg_id")
     ranked = leaves.withColumn("rank", F.row_number().over(order))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
     front = ranked.select("tree_id", F.col("msg_id").alias("leaf_id"), "rank", (F.col("steps") - 1).alias("pos"), "msg_id")
     for k in range(len(jumps) - 1, -1, -1):  # from far to near: each place on the path is reached once
-        up = jumps[k].where("up is not null").select("tree_id", "msg_id", "up")
+        up = jumps[k].select("tree_id", "msg_id", "up")
         more = front.join(up, ["tree_id", "msg_id"]).select("tree_id", "leaf_id", "rank", (F.col("pos") - 2**k).alias("pos"), F.col("up").alias("msg_id"))
         front = written(front.unionByName(more), "chat-path") if k else front.unionByName(more)
     return front
