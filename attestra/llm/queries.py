@@ -5,6 +5,7 @@ from attestra.llm.decontaminate import OP6_SQL, op6_decontaminate
 from attestra.llm.line_dedup import OP5_SQL, op5_line_dedup
 from attestra.llm.pii import op2_pii
 from attestra.llm.secret_scan import op4_secret_scan
+from attestra.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
