@@ -99,20 +99,27 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: i
     held = F.expr(f"cast(split('{','.join(map(str, weight))}', ',') as array<bigint>)")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-    hashed = docs.withColumn("__h", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
-    h = F.col("__h")
-    facts = hashed.withColumns({
-        "n_words": F.size(h).cast("long"),
+
+    def verdict(h: Column) -> Column:
+        measures = F.struct(F.size(h).cast("long").alias("n"), _repeat_words(h).alias("again"), _total_weight(h, held, buckets).alias("sum"))
+
+        def told(m: Column) -> Column:
+            failed = (m["n"] < MIN_WORDS) | (100 * m["again"] > MOST_REPEATED * m["n"])
+            score = F.when(m["n"] > 0, F.floor(m["sum"] / (2 * m["n"] - 1))).otherwise(0).cast("long")
+            return F.struct(m["n"].alias("n_words"), m["again"].alias("n_repeat_words"), score.alias("score"), failed.alias("base_failed"), (~failed & (score >= round(threshold * MILLION))).alias("kept"))
+
+        return let(measures, told)
+
+    # one expression, so that a filter on kept that moves below still evaluates it once
+    facts = docs.withColumn("__v", let(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), verdict))
+    v = F.col("__v")
+    return facts.withColumns({
+        "n_words": v["n_words"],
         "word_chars": (F.length(text) - F.regexp_count(text, F.lit(f"[{SPACE}]"))).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": _repeat_words(h),
-        "__sum": _total_weight(h, held, buckets),
-    })
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    score = F.when(F.col("n_words") > 0, F.floor(F.col("__sum") / (2 * F.col("n_words") - 1))).otherwise(0).cast("long")
-    out = facts.withColumns({"score": score, "base_failed": failed})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= round(threshold * MILLION))).drop("__h", "__sum")
+        "n_repeat_words": v["n_repeat_words"], "score": v["score"], "base_failed": v["base_failed"], "kept": v["kept"],
+    }).drop("__v")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
