@@ -231,7 +231,7 @@ def _mapped(df: DataFrame, last: str, function, added: str, model: bytes) -> Dat
     Codec(model)
     rows = df.select(*[c for c in df.columns if c not in (last, added)], last)
     handed = df.sparkSession.sparkContext.broadcast(model)
-    schema = rows.schema.add(added, T.ArrayType(T.IntegerType()) if added == "token_ids" else T.StringType())
+    schema = T.StructType([*rows.schema.fields, T.StructField(added, T.ArrayType(T.IntegerType()) if added == "token_ids" else T.StringType())])
     return rows.mapInArrow(function(handed), schema)
 
 
