@@ -1 +1 @@
-
+"""Column and scalar functions that the operators share."""

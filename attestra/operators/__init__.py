@@ -1 +1 @@
-
+"""Dataflow and statistical operators over whole tables."""

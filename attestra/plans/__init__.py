@@ -1 +1 @@
-
+"""Compositions of operators: scenarios, generation, bundles, queries, command line."""

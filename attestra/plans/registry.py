@@ -1,10 +1,516 @@
-"""Queries and SQL of the engine's own operators, by name."""
+"""Queries over the driver's tables, one or more for each operator that SQL can check, with their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestra.functions.ordered import average_ranks, quantiles
+from attestra.operators import distance, evaluate, fidelity, ingest, privacy, regression, sampling
+from attestra.operators.ingest import RareEvent
+from attestra.operators.regression import Estimand
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+OLS = Estimand("l_extendedprice", ("l_quantity", "l_discount"))
+LOGIT = Estimand("toxic", ("kchars",), family="logit")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-QUERIES = {}
-ORACLES = {}
+
+def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _odd_even(spark: SparkSession, sf_dir: str, *cols: str) -> tuple[DataFrame, DataFrame]:
+    """lineitem's odd orders as the real side, its even ones, with quantities a fifth larger, as the synthetic side."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", *cols)
+    synth = t.where("l_orderkey % 2 = 0")
+    if "l_quantity" in cols:
+        synth = synth.withColumn("l_quantity", F.col("l_quantity") * 1.2)
+    return t.where("l_orderkey % 2 = 1"), synth
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels with documents' length in thousands and lines' count."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 1000.0).alias("kchars"), F.col("n_chars").cast("double").alias("n_chars"), (F.length("lang") + F.length("source")).cast("double").alias("tag_chars"))
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("__rare", F.col("toxic") == 1)
+
+
+def _certificates(spark: SparkSession, real: regression.Fit, fits: dict[str, regression.Fit], spec: Estimand) -> DataFrame:
+    rows = []
+    for source, fit in fits.items():
+        for t in regression.certify(real, fit, spec)["targets"]:
+            rows.append((source, t["coefficient"], round(t["theta_real"], 4), round(t["theta_synth"], 4), round(t["z"], 4), bool(t["consistent"])))
+    return _frame(spark, rows, "source string, coefficient string, theta_real double, theta_synth double, z double, consistent boolean")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One certificate: lineitem against the half of it that a hash picks."""
+    t = table(spark, sf_dir, "lineitem")
+    half = t.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(2)) == 0)
+    return _certificates(spark, regression.fit_ols(t, OLS), {"hash_half": regression.fit_ols(half, OLS)}, OLS)
+
+
+# -- targets and ingest -------------------------------------------------------------------------------------------------
+
+@query("""
+select toxic as value, count(*) as n, round(count(*) / sum(count(*)) over (), 9) as ratio from labels group by toxic order by count(*), toxic limit 1""")
+def minority_value(spark, sf_dir):
+    out = ingest.minority_value(table(spark, sf_dir, "labels"), "toxic")
+    return out.select("value", "n", F.round("ratio", 9).alias("ratio"))
+
+
+@query("""
+with c as (select 'quality' as "column", cast(quality as varchar) as v, count(*) as n from labels group by quality
+  union all select 'toxic', cast(toxic as varchar), count(*) from labels group by toxic
+  union all select 'doc_id', cast(doc_id as varchar), count(*) from labels group by doc_id),
+f as (select "column", count(*) as k, min(n) as n_rare, sum(n) as total from c group by "column")
+select "column", k as cardinality, n_rare, round(n_rare / total, 9) as ratio,
+  round(0.5 * (1 - n_rare / total / 0.35) + 0.25 * (case when k = 2 then 1.0 else 1.0 / (k - 1) end) + 0.25 * least(1.0, n_rare / 50) + (case when "column" = 'toxic' then 0.15 else 0 end), 6) as score
+from f where k between 2 and 20 and n_rare >= 10 and n_rare / total <= 0.35""")
+def target_scores(spark, sf_dir):
+    out = ingest.target_scores(table(spark, sf_dir, "labels"))
+    return out.select("column", "cardinality", "n_rare", F.round("ratio", 9).alias("ratio"), F.round("score", 6).alias("score"))
+
+
+@query("""
+with e as (select event_id, case when event_id % 7 = 0 then null else value end as value, case when event_id % 5 = 0 then null else event_type end as event_type from events),
+m as (select quantile_cont(value, 0.5) as med from e), t as (select event_type as mode from e where event_type is not null group by 1 order by count(*) desc, event_type limit 1)
+select event_id, coalesce(value, med) as value, coalesce(event_type, mode) as event_type from e, m, t""")
+def impute_median_mode(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"))
+    return ingest.impute(e)
+
+
+def _tail(upper: bool):
+    def run(spark, sf_dir):
+        t = table(spark, sf_dir, "lineitem")
+        keep = ingest.rare_predicate(t, RareEvent("l_extendedprice", "percentile", percentile=0.05, upper=upper))
+        return t.where(keep).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+    return run
+
+
+for _side, _p, _op in (("upper", 0.95, ">="), ("lower", 0.05, "<=")):
+    QUERIES[f"rare_percentile_{_side}"] = _tail(_side == "upper")
+    ORACLES[f"rare_percentile_{_side}"] = f"select l_orderkey, l_linenumber, l_extendedprice from lineitem where l_extendedprice {_op} (select quantile_cont(l_extendedprice, {_p}) from lineitem)"
+
+
+@query("""
+with s as (select role, count(*) / sum(count(*)) over () as share from conversations group by role)
+select conv_id, turn, role from conversations where role in (select role from s where share <= 0.2)""")
+def rare_imbalance(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    return t.where(ingest.rare_predicate(t, RareEvent("role", "imbalance", ratio=0.2))).select("conv_id", "turn", "role")
+
+
+@query("""
+select toxic = 1 as rare, count(*) as n from labels group by 1""")
+def rare_split(spark, sf_dir):
+    flagged = ingest.flag_rare(table(spark, sf_dir, "labels"), RareEvent("toxic", value=1))
+    return flagged.groupBy(F.col("__rare").alias("rare")).agg(F.count("*").alias("n"))
+
+
+def _profile_sql(name: str, cols: dict[str, bool], ids: set[str]) -> str:
+    parts = []
+    for c, numeric in cols.items():
+        low, high, whole = (f"cast(min({c}) as double)", f"cast(max({c}) as double)", f"bool_and({c} = floor({c}))") if numeric else ("cast(null as double)", "cast(null as double)", "false")
+        idlike = "true" if c in ids or not numeric else "false"
+        parts.append(f"""select '{c}' as "column", count(*) as n, count(distinct {c}) as cardinality, {low} as low, {high} as high, {whole} as integral, count(*) >= 20 and count(distinct {c}) >= 0.99 * count(*) and ({whole} or {idlike}) as identifier from {name}""")
+    return " union all ".join(parts)
+
+
+@query(_profile_sql("customer", {"c_custkey": True, "c_name": False, "c_nationkey": True, "c_acctbal": True, "c_mktsegment": False}, {"c_custkey", "c_nationkey"}))
+def field_profile_customer(spark, sf_dir):
+    return ingest.profile_frame(table(spark, sf_dir, "customer"))
+
+
+@query(_profile_sql("part", {"p_partkey": True, "p_name": False, "p_brand": False, "p_type": False, "p_size": True, "p_retailprice": True}, {"p_partkey"}))
+def field_profile_part(spark, sf_dir):
+    return ingest.profile_frame(table(spark, sf_dir, "part"))
+
+
+@query("""
+with s as (select o_orderpriority, dense_rank() over (order by o_orderpriority) - 1 as code from (select distinct o_orderpriority from orders))
+select o_orderkey, cast(code as double) as o_orderpriority from orders join s using (o_orderpriority)""")
+def encode_categories(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return ingest.encode_categories(t, ingest.field_profile(t, ["o_orderpriority"]))
+
+
+@query("select o_orderkey, o_orderpriority from orders")
+def encode_decode_categories(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    fields = ingest.field_profile(t, ["o_orderpriority"])
+    return ingest.decode_categories(ingest.encode_categories(t, fields), fields)
+
+
+@query("""
+select l_orderkey, l_linenumber, round_even(least(greatest(l_extendedprice / 3, 500), 30000), 0) as whole, case when l_tax >= 0.04 then 0.08 else 0.0 end as snapped from lineitem""")
+def clamp_round_snap(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 3).alias("whole"), F.col("l_tax").alias("snapped"))
+    fields = {"whole": ingest.FieldMeta("whole", "continuous", 99, 99, True, low=500.0, high=30000.0), "snapped": ingest.FieldMeta("snapped", "binary", 2, 99, low=0.0, high=0.08, numeric_values=[0.0, 0.08])}
+    return sampling.apply_constraints(t, fields)
+
+
+@query("""
+select o_orderkey, row_number() over (order by o_orderkey) - 1 + (select max(c_custkey) + 1 from customer) as minted from orders""")
+def mint_identifiers(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select("o_orderkey")
+    top = table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0]
+    return sampling.apply_constraints(t, {"minted": ingest.FieldMeta("minted", "continuous", 99, 99, True, True, high=float(top))}, key="o_orderkey")
+
+
+@query("""
+select try_cast(o_orderpriority[1:1] as double) as pri, o_totalprice as total from orders where try_cast(o_orderpriority[1:1] as double) is not null and o_totalprice is not null""")
+def numeric_coercion(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).alias("pri"), F.col("o_totalprice").alias("total"))
+    return ingest.coerce_numeric(t, ["pri", "total"])
+
+
+@query("""
+with c as (select 'c_mktsegment' as "column", c_mktsegment as v, count(*) as n, min(c_custkey) as k0 from customer group by 2),
+s as (select "column", string_agg(v, ',' order by k0) as samples from (select *, row_number() over (order by k0) as k from c) where k <= 3 group by 1)
+select c."column", count(*) as cardinality, round(count(*) / sum(n), 9) as unique_ratio, round(min(n) / sum(n), 9) as minority_ratio, any_value(samples) as samples from c join s using ("column") group by 1""")
+def column_profiles(spark, sf_dir):
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("__rid"), "c_mktsegment")
+    out = ingest.column_profiles(t, ingest.field_profile(t), 3)
+    return out.select("column", "cardinality", F.round("unique_ratio", 9).alias("unique_ratio"), F.round("minority_ratio", 9).alias("minority_ratio"), F.concat_ws(",", "samples").alias("samples"))
+
+
+@query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_extendedprice <= (select quantile_cont(l_extendedprice, 0.995) from lineitem)")
+def trim_upper(spark, sf_dir):
+    return ingest.trim_upper(table(spark, sf_dir, "lineitem"), "l_extendedprice").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("select l_orderkey from (select c_custkey as l_orderkey from customer order by c_custkey desc limit 300)")
+def last_rows(spark, sf_dir):
+    return ingest.last_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("l_orderkey")), 300, "l_orderkey")
+
+
+# -- fidelity ---------------------------------------------------------------------------------------------------------------
+
+def _tvd_sql(view: str, col: str) -> str:
+    return f"""{view}, c as (select coalesce(r.v, s.v) as v, coalesce(r.n, 0) as r, coalesce(s.n, 0) as s from (select {col} as v, count(*) as n from real group by 1) r full join (select {col} as v, count(*) as n from synth group by 1) s on r.v = s.v)
+select round(0.5 * sum(abs(r / (select count(*) from real) - s / (select count(*) from synth))), 9) as tvd from c"""
+
+
+_SIDES = "with real as (select * from lineitem where l_orderkey % 2 = 1), synth as (select * replace (l_quantity * 1.2 as l_quantity) from lineitem where l_orderkey % 2 = 0)"
+
+
+@query(_tvd_sql(_SIDES, "l_returnflag"))
+def tvd_discrete(spark, sf_dir):
+    return fidelity.tvd_discrete(*_odd_even(spark, sf_dir, "l_returnflag"), "l_returnflag").select(F.round("tvd", 9).alias("tvd"))
+
+
+@query("""
+with real as (select cast(user_id as varchar) as v from events where event_id % 2 = 1), synth as (select cast(user_id as varchar) as v from events where event_id % 2 = 0 and event_id % 5 <> 0),
+r as (select v, count(*) as n from real group by 1), s as (select v, count(*) as n from synth group by 1),
+k as (select case when count(*) > 50 then least(count(*), greatest(20, (select count(*) from synth) // 5)) else count(*) end as k from r),
+t as (select v from (select v, row_number() over (order by n desc, v) as i from r) where i <= (select k from k)),
+c as (select coalesce(r.v, s.v) as v, coalesce(r.n, 0) as r, coalesce(s.n, 0) as s from r full join s on r.v = s.v),
+g as (select case when v in (select v from t) then v end as v, sum(r) as r, sum(s) as s from c group by 1)
+select round(0.5 * sum(abs(r / (select count(*) from real) - s / (select count(*) from synth))), 9) as tvd from g""")
+def tvd_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    out = fidelity.tvd_discrete(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0 and event_id % 5 <> 0"), "user_id")
+    return out.select(F.round("tvd", 9).alias("tvd"))
+
+
+@query(f"""{_SIDES}, u as (select l_quantity as x, 0 as side from real union all select l_quantity, 1 from synth), b as (select min(x) as lo, max(x) as hi from u),
+c as (select least(floor((x - lo) / ((hi - lo) / 20)), 19) as cell, count(*) filter (where side = 0) as r, count(*) filter (where side = 1) as s from u, b group by 1)
+select round(0.5 * sum(abs(r / (select count(*) from real) - s / (select count(*) from synth))), 9) as tvd from c""")
+def tvd_binned(spark, sf_dir):
+    return fidelity.tvd_binned(*_odd_even(spark, sf_dir, "l_quantity"), "l_quantity").select(F.round("tvd", 9).alias("tvd"))
+
+
+def _cdf_sql(col: str, what: str) -> str:
+    return f"""{_SIDES}, v as (select x, sum(r) as r, sum(s) as s from (select {col} as x, 1 as r, 0 as s from real union all select {col}, 0, 1 from synth) group by x),
+c as (select x, lead(x) over (order by x) as nx, sum(r) over (order by x) / (select count(*) from real) as f, sum(s) over (order by x) / (select count(*) from synth) as g from v)
+select {what} from c"""
+
+
+@query(_cdf_sql("l_quantity", "round(sum(abs(f - g) * (nx - x)) / (select stddev_pop(l_quantity) from real), 6) as w1"))
+def wasserstein_norm(spark, sf_dir):
+    return fidelity.wasserstein(*_odd_even(spark, sf_dir, "l_quantity"), "l_quantity").select(F.round("w1", 6).alias("w1"))
+
+
+@query(_cdf_sql("l_extendedprice", "round(sum(abs(f - g) * (nx - x)) / (select stddev_pop(l_extendedprice) from real), 6) as w1"))
+def wasserstein_continuous(spark, sf_dir):
+    return fidelity.wasserstein(*_odd_even(spark, sf_dir, "l_extendedprice"), "l_extendedprice").select(F.round("w1", 6).alias("w1"))
+
+
+@query(_cdf_sql("l_quantity", "round(max(abs(f - g)), 9) as ks"))
+def ks(spark, sf_dir):
+    return fidelity.ks_distance(*_odd_even(spark, sf_dir, "l_quantity"), "l_quantity").select(F.round("ks", 9).alias("ks"))
+
+
+_NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(_SIDES + ", p as (" + " union all ".join(f"select abs((select corr({a}, {b}) from real) - (select corr({a}, {b}) from synth)) as d" for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]) + ") select round(avg(d), 8) as mean_shift, round(max(d), 8) as max_shift from p")
+def corr_shift(spark, sf_dir):
+    real, synth = _odd_even(spark, sf_dir, *_NUM)
+    return fidelity.correlation_shift(real, synth, list(_NUM)).select(F.round("mean_shift", 8).alias("mean_shift"), F.round("max_shift", 8).alias("max_shift"))
+
+
+_TWO = "with s as (select stddev_pop(s_acctbal) as a, stddev_pop(s_nationkey) as b from supplier), d as (select c_custkey, min(sqrt(power((c_acctbal - s_acctbal) / a, 2) + power((c_nationkey - s_nationkey) / b, 2))) as distance from customer, supplier, s group by 1)"
+
+
+def _customers_suppliers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("bal"), F.col("c_nationkey").alias("nation"))
+    return c, table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("bal"), F.col("s_nationkey").alias("nation"))
+
+
+@query(_TWO + " select c_custkey, round(distance, 8) as distance from d")
+def nn_distance(spark, sf_dir):
+    c, s = _customers_suppliers(spark, sf_dir)
+    return distance.nearest(c, s, ["bal", "nation"]).select("c_custkey", F.round("distance", 8).alias("distance"))
+
+
+@query(_TWO + " select round(min(distance), 7) as low, round(quantile_cont(distance, 0.1), 7) as p10, round(quantile_cont(distance, 0.5), 7) as p50, round(quantile_cont(distance, 0.9), 7) as p90 from d")
+def nn_quantiles(spark, sf_dir):
+    c, s = _customers_suppliers(spark, sf_dir)
+    return distance.nearest_quantiles(c, s, ["bal", "nation"]).select(*[F.round(x, 7).alias(x) for x in ("low", "p10", "p50", "p90")])
+
+
+@query("""
+with r as (select stddev_pop(s_acctbal) as a, stddev_pop(s_nationkey) as b from supplier)
+select round(avg(case when (select min(power((c_acctbal - s_acctbal) / a, 2) + power((c_nationkey - s_nationkey) / b, 2)) from customer, r) <= 2 then 1.0 else 0.0 end), 9) as coverage from supplier""")
+def coverage(spark, sf_dir):
+    c, s = _customers_suppliers(spark, sf_dir)
+    return _frame(spark, [(round(fidelity.coverage_rate(s, c, ["bal", "nation"]), 9),)], "coverage double")
+
+
+@query("""
+with s as (select stddev_pop(l_extendedprice) as a, stddev_pop(l_discount) as b from lineitem where l_orderkey % 2 = 1),
+r as (select * from lineitem, s where l_orderkey % 2 = 1)
+select distinct t.l_orderkey, t.l_linenumber, t.l_extendedprice from lineitem t where t.l_orderkey % 2 = 0 and exists (select 1 from r where r.l_returnflag = t.l_returnflag and r.l_linestatus = t.l_linestatus
+  and r.l_extendedprice between t.l_extendedprice - 0.0011 * a and t.l_extendedprice + 0.0011 * a
+  and power(t.l_extendedprice / a - r.l_extendedprice / a, 2) + power(t.l_discount / b - r.l_discount / b, 2) <= 0.001 * 0.001)""")
+def verbatim_dups(spark, sf_dir):
+    cols = ("l_linenumber", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", *cols)
+    synth = t.where("l_orderkey % 2 = 0").withColumn("__rid", F.struct("l_orderkey", "l_linenumber", "l_extendedprice"))
+    hits = distance.verbatim(synth, t.where("l_orderkey % 2 = 1"), ["l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"])
+    return hits.distinct().select("__rid.*")
+
+
+@query("""
+with k as (select p_brand, p_type, p_size from part where p_partkey % 2 = 1 group by all having count(*) = 1)
+select p_partkey from part join k using (p_brand, p_type, p_size) where p_partkey % 2 = 0""")
+def kanon_singletons(spark, sf_dir):
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("__rid"), "p_brand", "p_type", "p_size")
+    return distance.verbatim(t.where("__rid % 2 = 0"), t.where("__rid % 2 = 1"), [], ["p_brand", "p_type", "p_size"]).select(F.col("__rid").alias("p_partkey"))
+
+
+# -- separation, disclosure -----------------------------------------------------------------------------------------------------
+
+_LAB = "with l as (select toxic, quality, n_chars, n_chars / 1000.0 as kchars, cast(length(lang) + length(source) as double) as tag_chars from labels join documents using (doc_id))"
+
+
+@query(_LAB + """, f as (""" + " union all ".join(f"""select '{c}' as feature, round(power(avg({c}) filter (where toxic = 1) - avg({c}) filter (where toxic <> 1), 2) / (var_pop({c}) filter (where toxic = 1) + var_pop({c}) filter (where toxic <> 1) + 1e-8), 6) as separation from l""" for c in ("n_chars", "tag_chars", "quality")) + ") select feature, separation, row_number() over (order by separation desc, feature) as rank from f")
+def fisher_rank(spark, sf_dir):
+    return fidelity.fisher_rank(_labelled(spark, sf_dir), ["n_chars", "tag_chars", "quality"])
+
+
+@query(_LAB + " select 'kchars' as feature, toxic = 1 as rare, count(*) as n, round(avg(kchars), 8) as mean, round(var_pop(kchars), 8) as var from l group by 2")
+def class_moments(spark, sf_dir):
+    out = fidelity.class_moments(_labelled(spark, sf_dir), ["kchars"])
+    return out.select("feature", "rare", "n", F.round("mean", 8).alias("mean"), F.round("var", 8).alias("var"))
+
+
+@query("select " + ", ".join(f"round(quantile_cont(l_extendedprice, {k / 10}), 6) as d{k}" for k in range(11)) + " from lineitem")
+def reference_deciles(spark, sf_dir):
+    q = quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [k / 10 for k in range(11)])
+    return _frame(spark, [tuple(round(x, 6) for x in q)], ", ".join(f"d{k} double" for k in range(11)))
+
+
+@query("""
+select 'o_totalprice' as "column", 'below_min' as violation, count(*) filter (where o_totalprice < 50000) as n_rows from orders
+union all select 'o_totalprice', 'above_max', count(*) filter (where o_totalprice > 200000) from orders
+union all select 'o_totalprice', 'non_integer', count(*) filter (where o_totalprice <> floor(o_totalprice)) from orders
+union all select 'o_orderstatus', 'outside_set', count(*) filter (where o_orderstatus not in ('F', 'O')) from orders
+union all select 'o_custkey', 'duplicate', count(*) - count(distinct o_custkey) from orders""")
+def conformance_counts(spark, sf_dir):
+    rules = {"o_totalprice": {"min": 50000.0, "max": 200000.0, "integer": True}, "o_orderstatus": {"values": ["F", "O"]}, "o_custkey": {"identifier": True}}
+    return fidelity.conformance(table(spark, sf_dir, "orders"), rules)
+
+
+@query("""
+with g as (select round_even(value / 10, 0) as level, count(*) as n, avg(case when event_type = 'purchase' then 1.0 else 0.0 end) as rate from events group by 1 having count(*) >= 30)
+select level, n, round(rate, 9) as rate, round(rate - lag(rate) over (order by level), 9) as step from g""")
+def rate_by_bucket_step(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("bought", (F.col("event_type") == "purchase").cast("double"))
+    return fidelity.grouped_rate(e, "bought", F.rint(F.col("value") / 10)).select("level", "n", F.round("rate", 9).alias("rate"), F.round("step", 9).alias("step"))
+
+
+@query("""
+with n as (select o_orderpriority as value, count(*) + 0.5 as n from orders group by 1) select value, round(n / (select sum(n) from n), 9) as p from n""")
+def freq_table_smoothed(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select("o_orderpriority")
+    cats = ingest.field_profile(t)["o_orderpriority"].categories
+    return fidelity.smoothed_frequencies(t, "o_orderpriority", cats).select("value", F.round("p", 9).alias("p"))
+
+
+@query("select c_custkey, rank() over (order by c_nationkey) + (count(*) over (partition by c_nationkey) - 1) / 2 as rank from customer")
+def average_rank(spark, sf_dir):
+    return average_ranks(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey").select("c_custkey", F.col("rank").cast("double").alias("rank"))
+
+
+@query("""
+with w as (select l_returnflag, 2 * l_quantity as q from lineitem) select l_returnflag, avg(q / 2) as mean_bias, 0.0 as spread, 1.0 as certified_rate from w where false group by 1
+union all select * from (values ('x1', -0.05, 0.05, 0.5), ('x2', 0.1, 0.0, 1.0))""")
+def sweep_summary(spark, sf_dir):
+    rows = _frame(spark, [("x1", 1.0, 0.9, False), ("x1", 1.0, 1.0, True), ("x2", 0.0, 0.1, True)], "coefficient string, theta_real double, theta_synth double, certified boolean")
+    return fidelity.sweep_summary(rows).select(F.col("coefficient").alias("l_returnflag"), F.round("mean_bias", 9).alias("mean_bias"), F.round("spread", 9).alias("spread"), "certified_rate")
+
+
+# -- regression -------------------------------------------------------------------------------------------------------------------
+
+_OLS_CTE = """m as (select source, count(*) as n, avg(l_extendedprice) as y, avg(l_quantity) as x1, avg(l_discount) as x2, var_pop(l_quantity) as a, var_pop(l_discount) as b, covar_pop(l_quantity, l_discount) as c,
+  covar_pop(l_quantity, l_extendedprice) as d1, covar_pop(l_discount, l_extendedprice) as d2, var_pop(l_extendedprice) as vy from t group by source),
+f as (select *, a * b - c * c as det, (d1 * b - d2 * c) / (a * b - c * c) as b1, (d2 * a - d1 * c) / (a * b - c * c) as b2 from m),
+g as (select *, n * (vy - b1 * d1 - b2 * d2) / (n - 3) as s2 from f),
+k as (select source, 'intercept' as coefficient, y - b1 * x1 - b2 * x2 as theta, sqrt(s2 * (1 / n + (x1 * x1 * b - 2 * x1 * x2 * c + x2 * x2 * a) / (det * n))) as se from g
+  union all select source, 'l_quantity', b1, sqrt(s2 * b / (det * n)) from g union all select source, 'l_discount', b2, sqrt(s2 * a / (det * n)) from g)"""
+
+
+@query("with t as (select 'all' as source, * from lineitem), " + _OLS_CTE + " select coefficient, round(theta, 4) as theta, round(se, 4) as se from k")
+def ols_coefficients(spark, sf_dir):
+    fit = regression.fit_ols(table(spark, sf_dir, "lineitem"), OLS).packed()
+    return _frame(spark, [(k, round(v["coef"], 4), round(v["se"], 4)) for k, v in fit.items()], "coefficient string, theta double, se double")
+
+
+_CERT_SQL = """select s.source, s.coefficient, round(r.theta, 4) as theta_real, round(s.theta, 4) as theta_synth, round(abs(s.theta - r.theta) / sqrt(r.se * r.se + s.se * s.se), 4) as z,
+  abs(s.theta - r.theta) / sqrt(r.se * r.se + s.se * s.se) <= 1.959963984540054 as consistent from k s join k r on r.source = 'real' and r.coefficient = s.coefficient where s.source <> 'real' and s.coefficient <> 'intercept'"""
+
+
+@query("with t as (select 'real' as source, * from lineitem union all select 'even', * from lineitem where l_orderkey % 2 = 0), " + _OLS_CTE + " " + _CERT_SQL)
+def certify_ols(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    return _certificates(spark, regression.fit_ols(t, OLS), {"even": regression.fit_ols(t.where("l_orderkey % 2 = 0"), OLS)}, OLS)
+
+
+@query("with t as (select 'real' as source, * from lineitem union all select 'part' || (l_orderkey % 5), * replace (case when l_orderkey % 5 = 4 then l_extendedprice * 1.3 else l_extendedprice end as l_extendedprice) from lineitem), " + _OLS_CTE + " " + _CERT_SQL)
+def certify_many_sources(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    parts = t.withColumn("source", F.concat(F.lit("part"), (F.col("l_orderkey") % 5).cast("string"))).withColumn("l_extendedprice", F.when(F.col("l_orderkey") % 5 == 4, F.col("l_extendedprice") * 1.3).otherwise(F.col("l_extendedprice")))
+    rows = []
+    for source, cert in regression.certify_many(t, parts, OLS).items():
+        rows += [(source, x["coefficient"], round(x["theta_real"], 4), round(x["theta_synth"], 4), round(x["z"], 4), bool(x["consistent"])) for x in cert["targets"]]
+    return _frame(spark, rows, "source string, coefficient string, theta_real double, theta_synth double, z double, consistent boolean")
+
+
+def _newton_sql(steps: int) -> str:
+    out = "with t as (select cast(toxic as double) as y, n_chars / 1000.0 as x from labels join documents using (doc_id)), s0 as (select 0.0::double as b0, 0.0::double as b1)"
+    for k in range(1, steps + 1):
+        out += f""", w{k} as (select y, x, 1 / (1 + exp(-(b0 + b1 * x))) as p from t, s{k - 1}),
+h{k} as (select sum(y - p) as g0, sum(x * (y - p)) as g1, sum(p * (1 - p)) as h00, sum(p * (1 - p) * x) as h01, sum(p * (1 - p) * x * x) as h11 from w{k}),
+s{k} as (select b0 + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01) as b0, b1 + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01) as b1 from s{k - 1}, h{k})"""
+    last = f"(select h00, h01, h11, h00 * h11 - h01 * h01 as det from h{steps})"
+    return out + f" select 'intercept' as coefficient, round(b0, 6) as theta, round(sqrt(h11 / det), 6) as se from s{steps}, {last} union all select 'kchars', round(b1, 6), round(sqrt(h00 / det), 6) from s{steps}, {last}"
+
+
+@query(_newton_sql(12))
+def logit_irls(spark, sf_dir):
+    fit = regression.fit_logit(_labelled(spark, sf_dir), LOGIT).packed()
+    return _frame(spark, [(k, round(v["coef"], 6), round(v["se"], 6)) for k, v in fit.items()], "coefficient string, theta double, se double")
+
+
+# -- model metrics -------------------------------------------------------------------------------------------------------------------
+
+_SCORED = _LAB + ", v as (select n_chars as s, count(*) filter (where toxic = 1) as pos, count(*) filter (where toxic <> 1) as neg from l group by 1), c as (select *, sum(pos) over (order by s desc) as rp, sum(neg) over (order by s desc) as rn from v)"
+
+
+def _scored(spark, sf_dir):
+    return _labelled(spark, sf_dir).select(F.col("toxic").alias("y"), F.col("n_chars").alias("score"))
+
+
+@query(_SCORED + " select round(sum(neg * (rp - pos / 2)) / (sum(pos) * sum(neg)), 9) as roc_auc from c")
+def roc_auc(spark, sf_dir):
+    return evaluate.roc_auc(_scored(spark, sf_dir)).select(F.round("roc_auc", 9).alias("roc_auc"))
+
+
+@query(_SCORED + " select round(sum(pos * rp / (rp + rn)) / sum(pos), 9) as average_precision from c")
+def average_precision(spark, sf_dir):
+    return evaluate.average_precision(_scored(spark, sf_dir)).select(F.round("average_precision", 9).alias("average_precision"))
+
+
+@query(_LAB + " select round(count(*) filter (where toxic = 1 and n_chars > 2000) / count(*) filter (where toxic = 1), 9) as recall, round(count(*) filter (where toxic = 1 and n_chars > 2000) / count(*) filter (where n_chars > 2000), 9) as precision from l")
+def recall_precision(spark, sf_dir):
+    p = _labelled(spark, sf_dir).select(F.col("toxic").alias("y"), (F.col("n_chars") > 2000).cast("int").alias("prediction"))
+    return evaluate.recall_precision(p).select(F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
+
+
+# -- samplers: no SQL has their draws -------------------------------------------------------------------------------------------------
+
+def _real_lines(spark, sf_dir):
+    return ingest.with_row_id(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey"), ["s_suppkey"])
+
+
+@query()
+def sample_bootstrap(spark, sf_dir):
+    return sampling.bootstrap(_real_lines(spark, sf_dir), 500, 7)
+
+
+@query()
+def sample_independent(spark, sf_dir):
+    return sampling.independent_columns(_real_lines(spark, sf_dir), ["s_acctbal", "s_nationkey"], 500, 7)
+
+
+@query()
+def sample_noised(spark, sf_dir):
+    return sampling.noised(_real_lines(spark, sf_dir), ["s_acctbal"], 500, 7)
+
+
+@query()
+def sample_grounded(spark, sf_dir):
+    return sampling.grounded_batch(_real_lines(spark, sf_dir), ["s_acctbal"], 500, 7)
+
+
+@query()
+def sample_copula(spark, sf_dir):
+    t = _real_lines(spark, sf_dir).drop("s_suppkey")
+    return sampling.parametric_batch(t, ingest.field_profile(t, ["s_acctbal", "s_nationkey"]), 500, 7)
+
+
+@query()
+def sample_smote(spark, sf_dir):
+    return distance.smote(_real_lines(spark, sf_dir), ["s_acctbal", "s_nationkey"], 500, 7)
+
+
+@query()
+def normal_scores(spark, sf_dir):
+    return sampling.normal_scores(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
+
+
+@query()
+def distance_floor(spark, sf_dir):
+    real = _real_lines(spark, sf_dir)
+    moved, _ = privacy.enforce_distance_floor(sampling.bootstrap(real, 200, 7).withColumn("__rid", F.col("draw")), real, ["s_acctbal", "s_nationkey"], 0.05, 7)
+    return moved.select("draw", "s_acctbal", "s_nationkey")
+
+
+@query()
+def estimand_preserving(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_discount")
+    return sampling.estimand_preserving(t, "l_extendedprice", ["l_quantity", "l_discount"], 500, 7, binary=False, trees=5)
+
+
