@@ -157,7 +157,7 @@ def fit_correction(rare: DataFrame, columns: list[str], p_normal, cfg: Amplifier
 
 def _corrector(handed, columns: list[str], continuous: list[bool]):
     def correct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gp = handed.value
+        gp = GaussianProcess(*handed.value)
         for pdf in batches:
             mean, var = gp.posterior(pdf[columns].to_numpy(float))
             shift = mean + np.sqrt(var) * pdf["__e"].to_numpy(float)
@@ -172,7 +172,7 @@ def _corrector(handed, columns: list[str], continuous: list[bool]):
 
 def sample_correction(base: DataFrame, gp: GaussianProcess, columns: list[str], continuous: list[bool], seed: int, key: str = "draw") -> DataFrame:
     """base with a draw of the process added to its continuous columns by their relevance."""
-    handed = base.sparkSession.sparkContext.broadcast(gp)
+    handed = base.sparkSession.sparkContext.broadcast((gp.x, gp.log_params, gp.alpha, gp.inverse, gp.mean))
     rows = base.withColumns({c: F.col(c).cast("double") for c in columns}).withColumn("__e", rnd.normal(seed, "correction", key))
     return rows.mapInPandas(_corrector(handed, columns, continuous), rows.schema).drop("__e")
 
