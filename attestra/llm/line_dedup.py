@@ -46,8 +46,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     later = hot_keys_join(windows, repeated, ["h1", "h2"], "n", total).where("at > first")
     gone = later.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("__pos")).withColumnsRenamed({"doc_id": "__id", "key": "__key"})
-    gone = written(gone, "line-gone")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key(docs["text"]) == F.col("__key")), "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key(docs["text"]) == F.col("__key")), "left")
     covered = F.array_distinct(F.flatten(F.transform("__pos", lambda p: F.sequence(p, p + WINDOW - 1))))
 
     def cut(lines: Column) -> Column:
