@@ -17,6 +17,16 @@ SPACE = " \t-\r"
 def ship(module: str) -> None:
     """Functions of this module go to the executors with their code, which then need no copy of the library."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def held(handed, kind, key: str = "content"):
+    """kind(content) of a broadcast {key: content}, built once in a worker for all its tasks: the broadcast's value
+    stays there. What is handed on is plain, so workers need no class to read it."""
+    value = handed.value
+    if kind.__name__ not in value:
+        value[kind.__name__] = kind(value[key])
+    return value[kind.__name__]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The best segmentation is built from left to right. Only a window as long as the longest piece is kept: for each place in
 it the best score and the way back. When the ways back of all places in the window meet in one boundary, whatever
-follows keeps what lies before it, so its ids are committed and forgotten. Where no piece can cross (before a run of
-space marks), all ways meet by construction, so texts are cut there and the ids of a stretch are remembered.
+follows keeps what lies before it, so its ids are committed and forgotten. Between two characters that stand side by
+side in no piece all ways meet by construction, so texts are cut there and the ids of a stretch are remembered.
 
 Scores: a unigram model's own scores, in whole millionths. A model of merges holds no probabilities, only the order of
 its merges; its pieces get Zipf's law over that order, -ln(1 + place). Ids are therefore the best under those scores
@@ -19,6 +19,7 @@ empty table gives no rows; other columns are kept.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import read_table, ship
+from attestra.llm.common import held, read_table, ship
 
 ship(__name__)
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches whose ids a worker remembers; beyond that it starts anew. Longer stretches are not remembered.
-HELD, LONGEST = 300_000, 64
+HELD, LONGEST = 400_000, 64
 _LEAST = -(10**18)
 
 
@@ -52,7 +53,6 @@ class Codec:
         millionths = [-round(1e6 * math.log(1 + k)) for k in range(1, len(plain) + 1)] if merges else [round(1e6 * s) for s in own]
         self.bytes = {int(pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.text = {i: pieces[i] for i in plain}
-        self.of_byte = {i: b for b, i in self.bytes.items()}
         self.unknown = sp.unk_id()
         self.penalty = min(millionths) - 10_000_000
         self.reach = max(len(pieces[i]) for i in plain)
@@ -63,8 +63,20 @@ class Codec:
             for c in pieces[i][:-1]:
                 node = node.setdefault(c, [{}, None])[0]
             node.setdefault(pieces[i][-1], [{}, None])[1] = (i, s)
-        self.cuts = not any(MARK in pieces[i].lstrip(MARK) for i in plain)
-        self.known: dict[str, list[int]] = {}
+        self.pairs = {p[i : i + 2] for p in self.text.values() for i in range(len(p) - 1)}
+        # runs that a first cut finds: at space marks, where no piece crosses them, and at characters without a piece
+        letters = re.escape("".join(sorted({c for p in self.text.values() for c in p} - {MARK})))
+        inner = any(MARK in p.lstrip(MARK) for p in self.text.values())
+        self.runs = re.compile(f"[{letters}{MARK}]+|[^{letters}{MARK}]" if inner else f"{MARK}+[{letters}]*|[{letters}]+|[^{letters}{MARK}]") if letters else re.compile(r"[\s\S]+")
+        spoken = [b""] * n
+        for i, p in self.text.items():
+            spoken[i] = p.replace(MARK, " ").encode()
+        for b, i in self.bytes.items():
+            spoken[i] = bytes([b])
+        if self.unknown >= 0:
+            spoken[self.unknown] = " ⁇ ".encode()
+        self.spoken = spoken
+        self.known: dict[str, bytes] = {}
 
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a text of space marks and letters, in the runs in which they are committed."""
@@ -157,92 +169,109 @@ class Codec:
             end = start
         return out[::-1]
 
-    def _stretches(self, text: str) -> list[str]:
-        """text before each run of space marks cut."""
-        if not self.cuts:
-            return [text]
+    def _stretch(self, part: str) -> bytes:
+        """Ids of a run, four bytes each; cut where no piece crosses, and remembered."""
+        known, pairs = self.known, self.pairs
         out, start = [], 0
-        at = text.find(MARK, 1)
-        while at >= 0:
-            if text[at - 1] != MARK:
-                out.append(text[start:at])
-                start = at
-            at = text.find(MARK, at + 1)
-        return [*out, text[start:]]
-
-    def encode(self, text: str | None) -> list[int]:
+        for i in range(1, len(part) + 1):
+            if i == len(part) or part[i - 1 : i + 1] not in pairs:
+                sub = part[start:i]
+                ids = known.get(sub)
+                if ids is None:
+                    if len(sub) <= LONGEST:
+                        ids = known[sub] = np.array(self._short(sub), np.int32).tobytes()
+                    else:
+                        ids = b"".join(np.array(run, np.int32).tobytes() for run in self.stream(sub))
+                out.append(ids)
+                start = i
+        return b"".join(out)
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """encode() as little-endian numbers of four bytes."""
         if not text:
-            return []
-        if len(self.known) > HELD:
-            self.known.clear()
-        out: list[int] = []
+            return b""
         known = self.known
-        for part in self._stretches(MARK + text.replace(" ", MARK)):
-            ids = known.get(part)
-            if ids is None:
-                if len(part) <= LONGEST:
-                    ids = known[part] = self._short(part)
-                else:
-                    ids = [i for run in self.stream(part) for i in run]
-            out += ids
-        return out
+        if len(known) > HELD:
+            known.clear()
+        stretch = self._stretch
+        return b"".join([known.get(p) or stretch(p) for p in self.runs.findall(MARK + text.replace(" ", MARK))])
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        out: list[bytes] = []
-        for i in ids:
-            if i in self.of_byte:
-                out.append(bytes([self.of_byte[i]]))
-            elif i in self.text:
-                out.append(self.text[i].replace(MARK, " ").encode())
-            elif i == self.unknown:
-                out.append(" ⁇ ".encode())
-        text = b"".join(out).decode(errors="replace")
+        text = b"".join(map(self.spoken.__getitem__, ids)).decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 
 def _encoder(handed):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(handed.value)
+        codec = held(handed, Codec)
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                b = batch.slice(i, 64)
-                ids = [codec.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
-                flat = np.fromiter((x for row in ids for x in row), np.int32)
-                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=[*b.schema.names, "token_ids"])
+            for i in range(0, batch.num_rows, 256):
+                b = batch.slice(i, 256)
+                ids = [codec.encode_bytes(t) for t in b.column(b.num_columns - 1).to_pylist()]
+                offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*b.schema.names, "token_ids"])
 
     return encode
 
 
 def _decoder(handed):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(handed.value)
+        codec = held(handed, Codec)
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                b = batch.slice(i, 64)
+            for i in range(0, batch.num_rows, 256):
+                b = batch.slice(i, 256)
                 texts = [codec.decode(x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
 
     return decode
 
 
-def _mapped(df: DataFrame, last: str, function, added: str, model: bytes) -> DataFrame:
+def _round_tripper(handed):
+    def round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = held(handed, Codec)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                b = batch.slice(i, 256)
+                texts = b.column(b.num_columns - 1).to_pylist()
+                ids = [codec.encode_bytes(t) for t in texts]
+                offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                same = [codec.decode(np.frombuffer(x, np.int32).tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(same, pa.bool_())], names=[*b.schema.names, "token_ids", "restored"])
+
+    return round_trip
+
+
+def _mapped(df: DataFrame, last: str, function, added: dict[str, T.DataType], model: bytes) -> DataFrame:
     """df with what function makes of column last, which the function sees at the end."""
-    Codec(model)
-    rows = df.select(*[c for c in df.columns if c not in (last, added)], last)
-    handed = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*rows.schema.fields, T.StructField(added, T.ArrayType(T.IntegerType()) if added == "token_ids" else T.StringType())])
+    Codec(model)  # refuse here what the workers would
+    rows = df.select(*[c for c in df.columns if c != last and c not in added], last)
+    handed = df.sparkSession.sparkContext.broadcast({"content": model})
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(k, v) for k, v in added.items()]])
     return rows.mapInArrow(function(handed), schema)
 
 
+_IDS = {"token_ids": T.ArrayType(T.IntegerType())}
+
+
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """docs (text, ...) with token_ids array<int>. model is the content of a .model file, of a few megabytes."""
-    return _mapped(docs, "text", _encoder, "token_ids", model)
+    return _mapped(docs, "text", _encoder, _IDS, model)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """encoded (token_ids, ...) with decoded string."""
-    return _mapped(encoded, "token_ids", _decoder, "decoded", model)
+    return _mapped(encoded, "token_ids", _decoder, {"decoded": T.StringType()}, model)
+
+
+def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
+    """docs (text, ...) with token_ids and restored: whether decoding them gives the text (null: empty) back. Encoder and
+    decoder run in one pass, so texts go to the workers once."""
+    return _mapped(docs, "text", _round_tripper, _IDS | {"restored": T.BooleanType()}, model)
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -257,8 +286,5 @@ def model_bytes(path: str | None = None) -> bytes:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Ids of all documents, and whether decoding gives each text back; path is the .model file."""
-    model = model_bytes(path)
-    out = decode(encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
-    return out.select(
-        "doc_id", F.size("token_ids").cast("long").alias("n_ids"), F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
+    out = round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model_bytes(path))
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_ids"), F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"), "restored")

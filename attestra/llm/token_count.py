@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import read_table, ship
+from attestra.llm.common import held, read_table, ship
 
 ship(__name__)
 
@@ -156,7 +156,7 @@ def _unicode(pattern: str) -> str:
 
 def _counter(handed, limit: int):
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = BpeCounter(handed.value)
+        counter = held(handed, BpeCounter)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 b = batch.slice(i, 256)
@@ -173,7 +173,7 @@ def count_tokens(docs: DataFrame, spec: str, limit: int = LIMIT) -> DataFrame:
     """docs (doc_id, text) as (doc_id, n_bytes, n_tokens, over_limit). spec is the content of a tokenizers file, of a few
     megabytes; it is handed to every worker once."""
     BpeCounter(spec)  # refuse here what the workers would
-    handed = docs.sparkSession.sparkContext.broadcast(spec)
+    handed = docs.sparkSession.sparkContext.broadcast({"content": spec})
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text")).mapInArrow(_counter(handed, limit), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 

@@ -16,7 +16,7 @@ from attestra.llm.common import read_table, written
 from attestra.llm.decontaminate import decontaminate
 from attestra.llm.line_dedup import dedup_lines
 from attestra.llm.quality import judge
-from attestra.llm.sentencepiece_codec import decode, encode, model_bytes
+from attestra.llm.sentencepiece_codec import model_bytes, round_trip
 from attestra.llm.simhash import near_duplicates
 
 
@@ -52,9 +52,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token_ids, n_tokens, and whether decoding gives the text back."""
-    model = model_bytes()
-    out = decode(encode(docs, model), model)
-    return out.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
+    out = round_trip(docs, model_bytes())
+    return out.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "restored")
 
 
 STAGES = [
