@@ -3,9 +3,9 @@
 from attestra.llm.chat_format import OP1_SQL, op1_chat_formatting
 from attestra.llm.decontaminate import OP6_SQL, op6_decontaminate
 from attestra.llm.line_dedup import OP5_SQL, op5_line_dedup
-from attestra.llm.pii import op2_pii
+from attestra.llm.pii import OP2_SQL, op2_pii
 from attestra.llm.quality import op7_quality_rules
-from attestra.llm.secret_scan import op4_secret_scan
+from attestra.llm.secret_scan import OP4_SQL, op4_secret_scan
 from attestra.llm.sentencepiece_codec import op3_sentencepiece
 from attestra.llm.simhash import op10_simhash
 from attestra.llm.substring_dedup import OP9_SQL, op9_substring_dedup
@@ -26,6 +26,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat_formatting": OP1_SQL,
+    "op2_pii": OP2_SQL,
+    "op4_secret_scan": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op6_decontaminate": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,

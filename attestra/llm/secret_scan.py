@@ -211,3 +211,26 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["rank"] < n)
     return found.select("doc_id", *[count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def _sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """Matches and the texts between them, whose running lengths give the places."""
+    found, kept = [], []
+    for i, r in enumerate(rules):
+        pattern = (("(?i)" if r.any_case else "") + r.regex).replace("\\x20", " ").replace("'", "''")
+        found.append(f"select doc_id, '{r.kind}' as kind, {i} as rank, regexp_extract_all(t, '{pattern}') as m, regexp_split_to_array(t, '{pattern}') as g from d")
+        value = f"regexp_replace(mt, '(?i)^{r.value.replace(chr(92) + 'x20', ' ').replace(chr(39), chr(39) * 2)}', '')" if r.value else "mt"
+        kept.append(f"(kind = '{r.kind}' and length({value}) >= {r.least})")
+    told = "kind || ':' || st || ':' || (st + length(mt))"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+f as ({" union all ".join(found)}),
+s as (select doc_id, kind, rank, m[k] as mt, list_sum([length(x) for x in g[1:k]]) + coalesce(list_sum([length(x) for x in m[1:k - 1]]), 0) as st from f, unnest(range(1, len(m) + 1)) as u(k)),
+v as (select doc_id, kind, rank, mt, cast(st as bigint) as st from s where {" or ".join(kept)}),
+a as (select doc_id, {", ".join(f"count(*) filter (where rank = {i}) as n_{r.kind}" for i, r in enumerate(BASE_RULES))},
+  coalesce(string_agg({told}, ',' order by st, rank) filter (where rank < {len(BASE_RULES)}), '') as base, string_agg({told}, ',' order by st, rank, length(mt)) as spans from v group by doc_id)
+select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (doc_id)
+"""
+
+
+OP4_SQL = _sql()
