@@ -17,6 +17,8 @@ apart by their bytes, so there are no false matches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -211,16 +213,23 @@ def _covered(starts: list[int], lengths: list[int]) -> int:
     return total
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[object, str | None]]]:
-    """The benchmark in blocks; the driver holds one partition's rows at a time and hands on bounded lists."""
-    blocks, block, size = [], [], 0
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
+    """The benchmark in blocks, at least one. The driver holds one partition's rows and one block at a time."""
+    block, size = [], 0
     for r in items.select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text").toLocalIterator():
         if block and size + len(r[1] or "") > block_bytes:
-            blocks.append(block)
+            yield block
             block, size = [], 0
         block.append((r[0], r[1]))
         size += len(r[1] or "")
-    return [*blocks, block]
+    yield block
+
+
+def _one_or_more(blocks: Iterator[list]) -> tuple[list, Iterator[list] | None]:
+    """The first block, and all of them again if there are more."""
+    first = next(blocks)
+    second = next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)
 
 
 def match_items(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -228,25 +237,20 @@ def match_items(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTE
     array<struct<start,length,item,item_start>>, in words, item as item_id string; item_ids: those items, distinct and
     sorted as strings. row tells rows apart where the benchmark has several blocks, else it is null."""
     sc = docs.sparkSession.sparkContext
-    blocks = _blocks(items, block_bytes)
+    first, blocks = _one_or_more(_blocks(items, block_bytes))
     docs = docs.select("doc_id", "text")
-    several = len(blocks) > 1
-    if several:
-        docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate-docs").select("row", "doc_id", "text")
-    else:
-        docs = docs.select(F.lit(None).cast("long").alias("row"), "doc_id", "text")
-    parts = []
-    for block in blocks:
-        part = docs.mapInArrow(_matcher(sc.broadcast(block), shard_chars), f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, matches {_MATCH_SQL}")
-        names = [x for x, t in block if split_words(t)]
-        parts.append(part.mapInArrow(_named(sc.broadcast(names)), _NAMED.format(docs.schema["doc_id"].dataType.simpleString())))
-    if not several:
-        return parts[0].mapInArrow(_summed, _SUMMED.format(docs.schema["doc_id"].dataType.simpleString()))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def one_pass(rows: DataFrame, block: list) -> DataFrame:
+        part = rows.mapInArrow(_matcher(sc.broadcast(block), shard_chars), f"row bigint, doc_id {kind}, n_words bigint, matches {_MATCH_SQL}")
+        return part.mapInArrow(_named(sc.broadcast([x for x, t in block if split_words(t)])), _NAMED.format(kind))
+
+    if blocks is None:
+        return one_pass(docs.select(F.lit(None).cast("long").alias("row"), "doc_id", "text"), first).mapInArrow(_summed, _SUMMED.format(kind))
+    docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate-docs").select("row", "doc_id", "text")
+    out = reduce(DataFrame.unionByName, (one_pass(docs, b) for b in blocks))
     merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
-    return merged.mapInArrow(_summed, _SUMMED.format(docs.schema["doc_id"].dataType.simpleString()))
+    return merged.mapInArrow(_summed, _SUMMED.format(kind))
 
 
 _NAMED = "row bigint, doc_id {}, n_words bigint, matches array<struct<start:bigint,length:bigint,item:string,item_start:bigint>>"
@@ -285,9 +289,9 @@ def contaminated():
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) without the contaminated documents: for one block of the benchmark in one pass without a
     shuffle, for several by a join on doc_id and text."""
-    blocks = _blocks(items, BLOCK_BYTES)
-    if len(blocks) == 1:
-        handed = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    first, blocks = _one_or_more(_blocks(items, BLOCK_BYTES))
+    if blocks is None:
+        handed = docs.sparkSession.sparkContext.broadcast(first)
         return docs.mapInArrow(_cleaner(handed, docs.columns.index("text"), SHARD_CHARS), docs.schema)
     found = match_items(docs.select(F.struct("doc_id", text_key(F.col("text")).alias("key")).alias("doc_id"), "text"), items)
     bad = found.where(contaminated()).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.key").alias("__key")).distinct()

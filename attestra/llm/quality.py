@@ -2,7 +2,7 @@
 
 Words and word pairs fall by hash into `buckets` buckets. Two multinomials over the buckets, both with add-one
 smoothing, are counted: one over all documents, one over a trusted sample, which is at most `trusted` documents
-labelled as good (those with the smallest hash of their id). A document's score is the mean over its n-grams of the log
+labelled as good and not as toxic (those with the smallest hash of their id). A document's score is the mean over its n-grams of the log
 ratio of trusted to raw, in whole millionths so that sums are exact; scores under `threshold` are rejected.
 
 Defined results: null text has no words, fails the base rules and scores 0; a document without labels counts in the
@@ -30,8 +30,9 @@ def _bucket(h: Column, buckets: int) -> Column:
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """At most `most` ids of documents with quality 1: those whose hash is smallest."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    """At most `most` ids of documents with quality 1 that are not toxic: those whose hash is smallest."""
+    clean = F.coalesce(F.col("toxic"), F.lit(0)) == 0 if "toxic" in labels.columns else F.lit(True)
+    good = labels.where(clean).where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 

@@ -96,7 +96,7 @@ def grams(text, buckets):
 
 def test_quality(spark, sf_dir, docs):
     labels = pd.read_parquet(f"{sf_dir}/labels.parquet")
-    good = set(labels[labels.quality == 1].doc_id)
+    good = set(labels[(labels.quality == 1) & (labels.toxic == 0)].doc_id)
     n = quality.BUCKETS
     raw, trusted = Counter(), Counter()
     for i, t in docs.items():
