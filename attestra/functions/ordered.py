@@ -62,21 +62,33 @@ def quantiles(df: DataFrame, c: str, probs: list[float]) -> list[float]:
 
 
 def _bin(c: str, bounds: list[float]) -> Column:
+    if not bounds:
+        return F.lit(0)
     return F.aggregate(F.array(*[F.lit(float(b)) for b in bounds]), F.lit(0), lambda a, b: a + (F.col(c) > b).cast("int"))
 
 
-def running_sums(df: DataFrame, order: str, sums: list[str], bins: int = 64) -> DataFrame:
-    """df, with one row for each value of order, plus run_<c> (sum of c up to and with the row) and next (the following
-    value of order). The rows are cut into bins at approximate quantiles; only the bins' totals meet in one task."""
-    bounds = sorted(set(df.agg(F.percentile_approx(order, [i / bins for i in range(1, bins)], 1000)).first()[0] or []))
-    binned = df.withColumn("__bin", _bin(order, bounds))
-    totals = binned.groupBy("__bin").agg(*[F.sum(c).alias(f"__{c}") for c in sums], F.min(order).alias("__first"))
-    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__bin", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__off_{c}") for c in sums], F.lead("__first").over(Window.orderBy("__bin")).alias("__after"))
-    w = Window.partitionBy("__bin").orderBy(order)
-    joined = binned.join(F.broadcast(offsets), "__bin")
-    out = joined.select(*df.columns, *[(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"__off_{c}")).alias(f"run_{c}") for c in sums], F.coalesce(F.lead(order).over(w), F.col("__after")).alias("next"))
-    return out
+def running_sums(df: DataFrame, order: str, sums: list[str], bins: int = 64, by: str | None = None) -> DataFrame:
+    """df, with one row for each value of order (and of by, a column of few values), plus run_<c> (sum of c up to and with
+    the row) and next (the following value of order). The rows are cut into bins at approximate quantiles; only the bins'
+    totals meet in one task."""
+    group = [by] if by else []
+    cut = F.percentile_approx(order, [i / bins for i in range(1, bins)], 1000).alias("bounds")
+    found = df.groupBy(*group).agg(cut).collect()
+    bounds = {r[by] if by else None: sorted(set(r["bounds"] or [])) for r in found}
+    if by:
+        place = F.lit(0)
+        for k, v in bounds.items():
+            place = F.when(F.col(by) == F.lit(k), _bin(order, v)).otherwise(place)
+    else:
+        place = _bin(order, bounds.get(None, []))
+    binned = df.withColumn("__bin", place)
+    totals = binned.groupBy(*group, "__bin").agg(*[F.sum(c).alias(f"__{c}") for c in sums], F.min(order).alias("__first"))
+    over = Window.partitionBy(*group).orderBy("__bin")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group, "__bin", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__off_{c}") for c in sums], F.lead("__first").over(over).alias("__after"))
+    w = Window.partitionBy(*group, "__bin").orderBy(order)
+    joined = binned.join(F.broadcast(offsets), [*group, "__bin"])
+    return joined.select(*df.columns, *[(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"__off_{c}")).alias(f"run_{c}") for c in sums], F.coalesce(F.lead(order).over(w), F.col("__after")).alias("next"))
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str = "row", bins: int = 64) -> DataFrame:

@@ -181,6 +181,42 @@ def parametric_batch(df: DataFrame, fields: dict[str, FieldMeta], n: int, seed:
     return u.select("draw", *out)
 
 
+def copula_baseline(df: DataFrame, columns: list[str], n: int, seed: int, binary: tuple[str, ...] = (), knots: int = 201) -> DataFrame:
+    """n rows of a Gaussian copula with plotting positions (rank - 1/2) / n, scores held within 5, quantiles for marginals;
+    binary columns are cut at one half."""
+    size = df.count()
+    scored = df
+    for i, c in enumerate(columns):
+        ranked = average_ranks(scored, c, "__r")
+        score = normal_quantile_column((F.col("__r") - 0.5) / F.lit(float(size)))
+        scored = ranked.withColumn(f"__s{i}", F.least(F.greatest(score, F.lit(-5.0)), F.lit(5.0))).drop("__r")
+    d = len(columns)
+    r = scored.agg(*[F.covar_pop(f"__s{i}", f"__s{j}").alias(f"p_{i}_{j}") for i in range(d) for j in range(i + 1)]).first()
+    cov = np.array([[r[f"p_{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(d)] for i in range(d)], dtype=float)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    factor = np.linalg.cholesky(cov / np.outer(sd, sd) + 1e-9 * np.eye(d))
+    u = copula_uniforms(df.sparkSession, factor, n, seed)
+    out = [quantile_inverse(F.col(f"u{i}"), quantiles(df, c, [k / (knots - 1) for k in range(knots)])).alias(c) for i, c in enumerate(columns)]
+    made = u.select("draw", *out)
+    return made.withColumns({c: (F.col(c) >= 0.5).cast("double") for c in binary}) if binary else made
+
+
+def conditional_outcome(df: DataFrame, x: DataFrame, outcome: str, predictors: list[str], seed: int, key: str = "draw", trees: int = 20, depth: int = 3) -> DataFrame:
+    """x (key, predictors, from real rows or any sampler) with an outcome: what boosted trees on df say of it, with noise of
+    the residual deviation."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    assembler = VectorAssembler(inputCols=predictors, outputCol="features")
+    typed = [F.col(c).cast("double").alias(c) for c in predictors]
+    train = assembler.transform(df.select(*typed, F.col(outcome).cast("double").alias("y"))).cache()
+    model = GBTRegressor(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
+    resid = model.transform(train).agg(F.stddev_pop(F.col("y") - F.col("prediction"))).first()[0] or 0.0
+    train.unpersist()
+    told = model.transform(assembler.transform(x.select(key, *typed)))
+    return told.select(key, *predictors, (F.col("prediction") + float(resid) * rnd.normal(seed, "outcome", key)).alias(outcome))
+
+
 # -- constraints ------------------------------------------------------------------------------------------------------
 
 def apply_constraints(df: DataFrame, fields: dict[str, FieldMeta], key: str = "draw") -> DataFrame:

@@ -177,7 +177,7 @@ def generate(spark: SparkSession, source: str | DataFrame, label: str = "", rare
     noise, trail = autotune(data, n_rare, seed, mode, coverage) if auto else (0.10 if noise_scale is None else noise_scale, [])
     final = seed + OFFSETS["final"]
     rare_part = one_pass(data, n_rare, final, noise, private == "floored", coverage, lift=not auto and mode != "faithful")
-    normal = make_normal(data, n_rows - n_rare, final + OFFSETS["normal"], noise)
+    normal = make_normal(data, n_rows - n_rare, final + OFFSETS["normal"], noise).cache()
     normal_report = _audit(data, normal, False, coverage, False)
     cols = [c for c in data.fields if not data.fields[c].is_identifier] + [data.label]
     both = normal.select(*cols, F.lit("normal").alias("part"), F.col("draw")).unionByName(rare_part["batch"].select(*cols, F.lit("rare").alias("part"), (F.col("draw") + n_rows).alias("draw")))

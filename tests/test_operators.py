@@ -12,7 +12,7 @@ from attestra.functions.ordered import average_ranks, quantiles, row_numbers, ru
 from attestra.operators import distance, evaluate, fidelity, ingest, privacy, regression, sampling, tail
 from attestra.operators.ingest import FieldMeta, IngestError, RareEvent
 from attestra.operators.regression import Estimand, EstimandError, Fit
-from attestra.plans import bundle, cli, generation, scenario
+from attestra.plans import bundle, cli, demos, generation, scenario
 from attestra.sources import tables
 
 
@@ -149,6 +149,20 @@ def test_fidelity_edges(spark):
     assert fidelity.audit(a, a, fields)["passed"]
 
 
+def test_all_columns_at_once_agree(spark):
+    rng = np.random.default_rng(9)
+    draw = lambda n, shift: frame(spark, [(float(a + shift), float(round(b, 1)), f"c{int(c)}", f"k{int(c) % 3}", 1.0) for a, b, c in zip(rng.normal(size=n), rng.normal(size=n), rng.exponential(30, n), strict=True)], "a double, b double, c string, k string, same double")
+    real, synth = draw(300, 0.0).cache(), draw(200, 0.4).cache()
+    fields = list(ingest.field_profile(real).values())
+    got = fidelity.column_statistics(real, synth, fields)
+    for m in fields:
+        if m.kind == "continuous":
+            assert got[m.name]["wasserstein"] == pytest.approx(fidelity.wasserstein(real, synth, m.name).first()[0])
+            assert got[m.name]["tvd"] == pytest.approx(fidelity.tvd_binned(real, synth, m.name).first()[0])
+        else:
+            assert got[m.name]["tvd"] == pytest.approx(fidelity.tvd_discrete(real, synth, m.name).first()[0])
+
+
 def test_high_cardinality_tvd_is_stable(spark):
     rng = np.random.default_rng(0)
     p = 1 / np.arange(1, 501)
@@ -263,3 +277,19 @@ def test_cli_certify(spark, tmp_path, capsys):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
     run = lambda s, o="y": cli.main(["certify", str(tmp_path / "real.parquet"), str(tmp_path / f"{s}.parquet"), "--outcome", o, "--predictors", "x1,x2", "--json"], spark)
     assert (run("good"), run("bad"), run("good", "zz"), run("missing")) == (0, 1, 2, 2)
+
+
+def test_demo_sources(spark):
+    spec = Estimand("y", ("x1", "x2"))
+    real = ingest.with_row_id(linear(spark, 600)[0], ["y", "x1", "x2"]).cache()
+    status = {k: v["status"] for k, v in demos.certify_sources(real, spec, n=600).items()}
+    assert len(status) == 9 and status["bootstrap"] == "certified" and status["independent"] == "not_preserved" and status["noised"] == "not_preserved"
+    checks = demos.standard_checks(real, sampling.bootstrap(real, 600, 1), spec)
+    assert checks["passed"] == [True, True, True]
+    assert demos.mechanism_gap(real, {}, "y", "x1")["real"]["rise"] > 2
+
+
+def test_control_rates(spark):
+    real = linear(spark, 400)[0].cache()
+    rates = demos.control_rates(real, Estimand("y", ("x1", "x2")), range(6), n=400)
+    assert rates["negative_certified"] == 0 and rates["positive_refused"] <= 3
