@@ -138,6 +138,18 @@ def resolve(fields: dict[str, FieldMeta], claims: list[ColumnClaim]) -> tuple[li
     return list(chosen.values()), verdicts
 
 
+def propose(fields: dict[str, FieldMeta], caller, config: dict | None = None) -> list[ColumnClaim]:
+    """Claims of a model, through an injected caller(prompt, payload, config) -> JSON list of objects. The payload has names
+    and kinds only, no values. Whatever goes wrong gives no claims; resolve() vets the rest like any others."""
+    payload = [{"name": m.name, "kind": m.kind, "integer": m.is_integer, "cardinality": m.cardinality} for m in fields.values()]
+    try:
+        told = json.loads(caller("Describe each column as JSON: name, kind, role, unit, confidence.", payload, config or {}))
+        known = set(ColumnClaim.__dataclass_fields__) - {"source"}
+        return [ColumnClaim(**{k: tuple(v) if k == "categories" and v else v for k, v in c.items() if k in known}, source="model") for c in told]
+    except Exception:
+        return []
+
+
 def rules(claims: list[ColumnClaim]) -> dict[str, dict]:
     """What conformance() holds a delivered table to."""
     out = {}

@@ -240,6 +240,8 @@ def test_vetting_and_scenarios():
     out, verdicts = scenario.resolve({"x": m, "c": c}, claims)
     assert (out[0].min, out[0].max) == (-1.0, 9.0)
     assert {(v["column"], v["claim"]) for v in verdicts if not v["accepted"]} == {("nope", "column"), ("x", "max"), ("c", "all")}
+    told = scenario.propose({"x": m}, lambda prompt, payload, config: json.dumps([{"name": "x", "unit": "m", "confidence": 0.9, "junk": 1}]))
+    assert told[0].source == "model" and told[0].unit == "m" and scenario.propose({"x": m}, lambda *a: "no json") == []
     s = scenario.Scenario("y", columns=claims, estimand=Estimand("y", ("x",)))
     assert scenario.Scenario.from_yaml(s.to_yaml()) == s
 
