@@ -91,6 +91,37 @@ def running_sums(df: DataFrame, order: str, sums: list[str], bins: int = 64, by:
     return joined.select(*df.columns, *[(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"__off_{c}")).alias(f"run_{c}") for c in sums], F.coalesce(F.lead(order).over(w), F.col("__after")).alias("next"))
 
 
+def quantile_table(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float]]:
+    """quantiles() of several columns, from one running sum over (column, value) counts."""
+    if not columns:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("x").isNotNull() & ~F.isnan("x"))
+    values = long.groupBy("column", "x").agg(F.count("*").alias("n")).cache()
+    sizes = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    ranks = {c: sorted({k for p in probs for k in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))}) for c, n in sizes.items()}
+    wanted = F.array().cast("array<bigint>")
+    for c, ks in ranks.items():
+        wanted = F.when(F.col("column") == c, F.array(*[F.lit(k).cast("bigint") for k in ks])).otherwise(wanted)
+    found: dict[tuple[str, int], float] = {}
+    if sizes:
+        run = running_sums(values, "x", ["n"], by="column").withColumn("ks", wanted)
+        hit = F.filter("ks", lambda k: (k >= F.col("run_n") - F.col("n")) & (k < F.col("run_n")))
+        found = {(r["column"], r["k"]): r["x"] for r in run.select("column", "x", F.explode(hit).alias("k")).collect()}
+    values.unpersist()
+
+    def at(c: str, p: float) -> float:
+        n = sizes.get(c, 0)
+        if not n:
+            return float("nan")
+        place = p * (n - 1)
+        k = int(place)
+        a = found[(c, k)]
+        return a if place == k else a + (found[(c, k + 1)] - a) * (place - k)
+
+    return {c: [at(c, p) for p in probs] for c in columns}
+
+
 def row_numbers(df: DataFrame, order: list[str], name: str = "row", bins: int = 64) -> DataFrame:
     """df with consecutive numbers from 0 by order: rows are range-partitioned, numbered within their partition, and
     moved on by the sizes of the partitions before."""

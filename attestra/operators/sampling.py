@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import random as rnd
-from attestra.functions.ordered import average_ranks, quantiles, row_numbers
+from attestra.functions.ordered import average_ranks, quantile_table, quantiles, row_numbers
 from attestra.functions.stats import normal_cdf_column, normal_quantile_column
 from attestra.operators.fidelity import smoothed_frequencies
 from attestra.operators.ingest import FieldMeta
@@ -169,11 +169,12 @@ def parametric_batch(df: DataFrame, fields: dict[str, FieldMeta], n: int, seed:
         elif m.name in names:
             coded = coded.withColumn(m.name, F.col(m.name).cast("double"))
     u = copula_uniforms(df.sparkSession, copula_factor(coded, names), n, seed)
+    inverse = quantile_table(df, [c for c in names if fields[c].kind == "continuous"], [k / (knots - 1) for k in range(knots)])
     out = []
     for i, c in enumerate(names):
         m = fields[c]
         if m.kind == "continuous":
-            out.append(quantile_inverse(F.col(f"u{i}"), quantiles(df, c, [k / (knots - 1) for k in range(knots)])).alias(c))
+            out.append(quantile_inverse(F.col(f"u{i}"), inverse[c]).alias(c))
         else:
             values = m.categories if m.kind == "categorical" else sorted(set(m.numeric_values))
             shares = {r["value"]: r["p"] for r in smoothed_frequencies(df, c, values).collect()}
@@ -196,7 +197,8 @@ def copula_baseline(df: DataFrame, columns: list[str], n: int, seed: int, binary
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     factor = np.linalg.cholesky(cov / np.outer(sd, sd) + 1e-9 * np.eye(d))
     u = copula_uniforms(df.sparkSession, factor, n, seed)
-    out = [quantile_inverse(F.col(f"u{i}"), quantiles(df, c, [k / (knots - 1) for k in range(knots)])).alias(c) for i, c in enumerate(columns)]
+    inverse = quantile_table(df, columns, [k / (knots - 1) for k in range(knots)])
+    out = [quantile_inverse(F.col(f"u{i}"), inverse[c]).alias(c) for i, c in enumerate(columns)]
     made = u.select("draw", *out)
     return made.withColumns({c: (F.col(c) >= 0.5).cast("double") for c in binary}) if binary else made
 

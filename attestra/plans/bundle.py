@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from attestra import __version__
-from attestra.functions.ordered import quantiles
+from attestra.functions.ordered import quantile_table
 from attestra.operators.fidelity import class_moments, correlations, fisher_rank
 from attestra.operators.regression import METRIC_VERSION, Estimand, evaluate, reference_aggregate
 from attestra.plans.scenario import schema_hash
@@ -48,7 +48,7 @@ def reference_aggregates(df: DataFrame, columns: list[str], spec: Estimand | Non
         "moments": [r.asDict() for r in class_moments(df, columns).orderBy("feature", "rare").collect()],
     }
     if counts.get("true", 0) >= MIN_BUCKET:
-        out["deciles"] = {c: quantiles(rare, c, [k / 10 for k in range(11)]) for c in columns}
+        out["deciles"] = quantile_table(rare, columns, [k / 10 for k in range(11)])
     else:
         out["deciles"] = None
     if spec is not None:

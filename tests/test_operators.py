@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions import stats
-from attestra.functions.ordered import average_ranks, quantiles, row_numbers, running_sums
+from attestra.functions.ordered import average_ranks, quantile_table, quantiles, row_numbers, running_sums
 from attestra.operators import distance, evaluate, fidelity, ingest, privacy, regression, sampling, tail
 from attestra.operators.ingest import FieldMeta, IngestError, RareEvent
 from attestra.operators.regression import Estimand, EstimandError, Fit
@@ -32,6 +32,8 @@ def test_order_statistics(spark):
     probs = [0, 0.1, 0.25, 0.5, 0.77, 1]
     assert quantiles(df, "x", probs) == pytest.approx(list(np.quantile(x, probs)))
     assert quantiles(df, "x", [0.33]) == pytest.approx([np.quantile(x, 0.33)])
+    both = quantile_table(df.withColumn("y", -F.col("x")), ["x", "y"], probs)
+    assert both["x"] == pytest.approx(list(np.quantile(x, probs))) and both["y"] == pytest.approx(list(np.quantile([-v for v in x], probs)))
     assert math.isnan(quantiles(df.limit(0), "x", [0.5])[0])
     run = running_sums(df.groupBy("x").agg(F.count("*").alias("n")), "x", ["n"], bins=7).orderBy("x").collect()
     assert [r["run_n"] for r in run] == [sum(v <= r["x"] for v in x) for r in run]
