@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -34,10 +36,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share; one of our own, until the program ends, only where the cluster names
+    none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = f"file://{tempfile.mkdtemp(prefix='attestra-')}"
+        folder = tempfile.mkdtemp(prefix="attestra-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 

@@ -5,8 +5,8 @@ it. A map-side sum finds the windows that occur twice or more anywhere and the f
 (doc_id, position). Every line that a later occurrence covers goes.
 
 Defined results: null text is empty; a text of fewer than three lines keeps them all; a null doc_id comes after all
-others; of rows that share an id, windows at the same place are one occurrence; a text may lose all its lines and is
-empty then; an empty table gives no rows; other columns are kept.
+others; of rows that share an id, windows at the same place are one occurrence; an occurrence that overlaps the first
+one is a later one too, so a run of one line shrinks to a single one; a text may lose all its lines and is empty then; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
