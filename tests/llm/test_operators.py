@@ -100,6 +100,19 @@ def test_disclosing_terms(spark):
     assert clean[0] == "the doctor [TERM] wrote [EMAIL] and the rest 0" and clean[100] == rows[4][1]
 
 
+def test_disclosing_terms_far_from_the_mention(spark):
+    far = "some plain words " * 20
+    rows = [(i, f"zorblat {far}ann@ex.org {far}Zorblat {i}") for i in range(4)] + [(4, f"ann@ex.org {far}")] + [(100 + i, f"{far}zonk {i}") for i in range(60)]
+    rows += [(None, f"zorblat {far}ann@ex.org"), (None, f"zorblat {far}ann@ex.org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find(df)
+    assert found.count() == len(rows) and all([t.term for t in r.terms] == ["zorblat", "zorblat"] for r in found.where("doc_id < 4").collect())
+    assert all([t.term for t in r.terms] == ["zorblat"] for r in found.where("doc_id is null").collect())
+    assert all(not r.terms for r in found.where("doc_id >= 4").collect())
+    clean = dict(texts(pii.sanitise(df.where("doc_id is not null"), found)))
+    assert clean[0] == f"[TERM] {far}[EMAIL] {far}[TERM] 0"
+
+
 def test_secrets_odd(odd):
     out = {r.doc_id: r.spans for r in secret_scan.scan(odd).collect()}
     assert len(out[9]) == 3000 and out[1] == [] and secret_scan.scan(odd).count() == odd.count() and secret_scan.scan(empty(odd)).count() == 0
