@@ -5,8 +5,10 @@ node joins the node 2**k steps above it, so a path of length n needs log2(n) sel
 ranked by the mean score of their paths, and the chosen ones are walked back by the same jumps, one join a level.
 
 Defined results: null text or role is empty; equal scores go to the smaller leaf id; a message whose parent is
-absent (or null) is a root; a repeated message id keeps the smallest (role, text, score); messages on a cycle
-have no root and are left out; an empty table gives no rows; other columns are ignored.
+absent (or null) is a root; a repeated message id keeps the smallest (role, text, score); messages with a null tree
+id form one tree; each message with a null id is one of its own, which none can answer, with a null leaf_id, and comes
+after others of equal score; messages on a cycle have no root and are left out; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,12 +49,23 @@ TEMPLATE = Template()
 
 
 def _message_table(messages: DataFrame) -> DataFrame:
-    one = F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"), "parent_id"))
-    return messages.where("msg_id is not null").groupBy("tree_id", "msg_id").agg(one.alias("m")).select("tree_id", "msg_id", "m.parent_id", "m.role", "m.text", "m.score")
+    """tree_id, msg_id and parent_id become structs, which are equal also where what they hold is null; msg_id's second
+    field tells messages without an id apart, a parent's is null."""
+    clean = messages.select(
+        F.struct(F.col("tree_id").alias("id")).alias("tree_id"), "msg_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"), "parent_id")
+    one = F.min(F.struct("role", "text", "score", "parent_id"))
+    known = clean.where("msg_id is not null").groupBy("tree_id", "msg_id").agg(one.alias("m")).select("tree_id", "msg_id", F.lit(None).cast("string").alias("own"), "m.*")
+    said = F.sha2(F.to_json(F.struct("role", "text", "score", "parent_id")), 256)
+    bare = clean.where("msg_id is null").withColumn("own", said)
+    copy = F.row_number().over(Window.partitionBy("tree_id", "own").orderBy("own")).cast("string")
+    bare = bare.withColumn("own", F.concat_ws(":", "own", copy))
+    out = known.unionByName(bare.select(*known.columns))
+    parent = F.when(F.col("parent_id").isNotNull(), F.struct(F.col("parent_id").cast(messages.schema["msg_id"].dataType).alias("id"), F.lit(None).cast("string").alias("own")))
+    return out.select("tree_id", F.struct(F.col("msg_id").alias("id"), "own").alias("msg_id"), parent.alias("parent_id"), "role", "text", "score")
 
 
 def chosen_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
-    """messages (tree_id, msg_id, parent_id, role, text, score) as (tree_id, leaf_id, rank, pos, msg_id): the root-to-leaf
+    """messages (_message_table's columns) as (tree_id, leaf_id, rank, pos, msg_id): the root-to-leaf
     paths of the best leaves of each tree (all with best=None), pos from 0 at the root."""
     nodes = messages.select("tree_id", "msg_id", "parent_id", "score")
     ids = nodes.select("tree_id", F.col("msg_id").alias("parent_id"), F.lit(1).alias("known"))
@@ -76,7 +89,7 @@ def chosen_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
         left = open_rows.count()
     parents = jumps[0].select("tree_id", F.col("up").alias("msg_id")).distinct()
     leaves = ended.join(parents, ["tree_id", "msg_id"], "left_anti")
-    order = Window.partitionBy("tree_id").orderBy(F.desc(F.col("total") / F.col("steps")), "msg_id")
+    order = Window.partitionBy("tree_id").orderBy(F.desc(F.col("total") / F.col("steps")), F.asc_nulls_last("msg_id.id"), "msg_id.own")
     ranked = leaves.withColumn("rank", F.row_number().over(order))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
@@ -104,7 +117,7 @@ def format_conversations(messages: DataFrame, best: int | None = 1, template: Te
     turn = F.struct("pos", F.concat("head", "body", F.lit(template.end)).alias("piece"), "start", (F.col("start") + F.length("body")).alias("end"), "loss")
     rows = turns.groupBy("tree_id", "leaf_id", "rank").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     return rows.select(
-        "tree_id", "leaf_id", "rank",
+        F.col("tree_id.id").alias("tree_id"), F.col("leaf_id.id").alias("leaf_id"), "rank",
         F.concat_ws("", F.col("turns.piece")).alias("formatted"),
         F.transform("turns", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["loss"].alias("loss"))).alias("spans"))
 
@@ -129,7 +142,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(f"select -1L conv_id, stack(2, 0L, 'user', '{PROBE}', 1L, 'assistant', '{PROBE}') as (turn, role, text)")
     rows = rows.unionByName(probe)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text")
     chain = rows.withColumn("msg_id", F.row_number().over(order).cast("long"))
     chain = chain.select(F.col("conv_id").alias("tree_id"), "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.lit(1.0).alias("score"))
     out = format_conversations(chain)

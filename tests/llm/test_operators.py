@@ -70,6 +70,28 @@ def test_escaping_and_spans(spark):
         assert not any(c in body for c in chat_format.TEMPLATE.controls)
 
 
+def test_chat_null_ids(spark):
+    rows = [(None, 1, None, "user", "a", 1.0), (None, 2, 1, "assistant", "b", 1.0), (None, 3, 2, "user", "c", 1.0), (7, 1, None, "user", "d", 1.0)]
+    rows += [(7, None, 1, "assistant", "e", 1.0), (7, None, 1, "assistant", "e", 1.0), (8, None, None, "user", "f", 1.0)]
+    every = chat_format.format_conversations(messages(spark, rows), best=None).withColumn("turns", chat_format.parse_turns(F.col("formatted")))
+    got = [(r.tree_id, r.leaf_id, "".join(t.text for t in r.turns)) for r in every.collect()]
+    assert sorted(got, key=str) == [(7, None, "de"), (7, None, "de"), (8, None, "f"), (None, 3, "abc")]
+    again = chat_format.format_conversations(messages(spark, rows)).collect()
+    assert sorted((str(r.tree_id), r.rank) for r in again) == [("7", 1), ("8", 1), ("None", 1)]
+
+
+def test_chat_query_with_null_conversation(spark, same, tmp_path):
+    import duckdb
+
+    rows = [(None, 0, "user", "hello"), (None, 1, "assistant", "yes"), (3, 0, "user", None), (3, None, "assistant", "no")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    out = chat_format.op1_chat_formatting(spark, str(tmp_path)).toPandas()
+    assert len(out) == 3 and same(out.fillna(-9).astype({"conv_id": "int64"}), duck.execute(chat_format.OP1_SQL).df().fillna(-9).astype({"conv_id": "int64"}))
+
+
 # -- pii, secrets -------------------------------------------------------------------------------------------------------
 
 def test_pii_odd(odd):
