@@ -92,8 +92,8 @@ def measure_lift(df: DataFrame, columns: list[str], generate: Callable[[DataFram
 def _models(seed: int) -> dict:
     return {
         "logistic": LogisticRegression(labelCol="y", weightCol="w", maxIter=50),
-        "forest": RandomForestClassifier(labelCol="y", weightCol="w", numTrees=50, seed=seed),
-        "boosted": GBTClassifier(labelCol="y", weightCol="w", maxIter=20, maxDepth=3, seed=seed),
+        "forest": RandomForestClassifier(labelCol="y", weightCol="w", numTrees=100, seed=seed),
+        "boosted": GBTClassifier(labelCol="y", weightCol="w", maxIter=100, maxDepth=3, seed=seed),
     }
 
 

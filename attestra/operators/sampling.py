@@ -17,6 +17,8 @@ from attestra.operators.ingest import FieldMeta
 
 #: Points of a column's quantile function that are kept for its inverse.
 KNOTS = 1001
+#: Boosting rounds of a fitted outcome, as in the reference.
+ROUNDS = 200
 
 
 @dataclass(frozen=True)
@@ -203,7 +205,7 @@ def copula_baseline(df: DataFrame, columns: list[str], n: int, seed: int, binary
     return made.withColumns({c: (F.col(c) >= 0.5).cast("double") for c in binary}) if binary else made
 
 
-def conditional_outcome(df: DataFrame, x: DataFrame, outcome: str, predictors: list[str], seed: int, key: str = "draw", trees: int = 20, depth: int = 3) -> DataFrame:
+def conditional_outcome(df: DataFrame, x: DataFrame, outcome: str, predictors: list[str], seed: int, key: str = "draw", trees: int = ROUNDS, depth: int = 3) -> DataFrame:
     """x (key, predictors, from real rows or any sampler) with an outcome: what boosted trees on df say of it, with noise of
     the residual deviation."""
     from pyspark.ml.feature import VectorAssembler
@@ -246,7 +248,7 @@ def apply_constraints(df: DataFrame, fields: dict[str, FieldMeta], key: str = "d
 
 # -- estimand-preserving ----------------------------------------------------------------------------------------------
 
-def estimand_preserving(df: DataFrame, outcome: str, predictors: list[str], n: int, seed: int, binary: bool, trees: int = 20, depth: int = 3) -> DataFrame:
+def estimand_preserving(df: DataFrame, outcome: str, predictors: list[str], n: int, seed: int, binary: bool, trees: int = ROUNDS, depth: int = 3) -> DataFrame:
     """Predictors from a Gaussian mixture, the outcome from boosted trees given them: a coin of the fitted chance, or the
     fitted mean with noise of the residual deviation."""
     from pyspark.ml.classification import GBTClassifier

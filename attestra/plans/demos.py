@@ -12,7 +12,7 @@ from attestra.operators.regression import Estimand, certify_many
 CUTOFFS = ((0.10, 0.10, 0.95), (0.15, 0.10, 0.95), (0.20, 0.20, 0.85))
 
 
-def sources(real: DataFrame, spec: Estimand, n: int, seed: int, trees: int = 20) -> dict[str, DataFrame]:
+def sources(real: DataFrame, spec: Estimand, n: int, seed: int, trees: int = sampling.ROUNDS) -> dict[str, DataFrame]:
     """Seven synthetic tables of real (with __rid): two controls, and five samplers."""
     cols = [spec.outcome, *spec.predictors]
     rows = real.select("__rid", *[F.col(c).cast("double").alias(c) for c in cols])

@@ -511,6 +511,6 @@ def distance_floor(spark, sf_dir):
 @query()
 def estimand_preserving(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_discount")
-    return sampling.estimand_preserving(t, "l_extendedprice", ["l_quantity", "l_discount"], 500, 7, binary=False, trees=5)
+    return sampling.estimand_preserving(t, "l_extendedprice", ["l_quantity", "l_discount"], 500, 7, binary=False)
 
 

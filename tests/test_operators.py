@@ -1,5 +1,6 @@
 """Operators on small tables with known answers."""
 
+import inspect
 import json
 import math
 
@@ -297,3 +298,26 @@ def test_control_rates(spark):
     real = linear(spark, 400)[0].cache()
     rates = demos.control_rates(real, Estimand("y", ("x1", "x2")), range(6), n=400)
     assert rates["negative_certified"] == 0 and rates["positive_refused"] <= 3
+
+
+def test_models_have_the_sizes_of_the_reference(spark, monkeypatch):
+    import pyspark.ml.regression
+
+    from attestra.plans import demos, registry
+
+    class Fitted(Exception):
+        pass
+
+    def learner(maxIter, **kw):
+        raise Fitted(maxIter)
+
+    monkeypatch.setattr(pyspark.ml.regression, "GBTRegressor", learner)
+    df = spark.createDataFrame([(float(i % 3), float(i), float(i * i % 7)) for i in range(200)], "l_extendedprice double, l_quantity double, l_discount double")
+    monkeypatch.setattr(registry, "table", lambda *_: df)
+    with pytest.raises(Fitted, match="^200$"):
+        registry.estimand_preserving(spark, "")
+    with pytest.raises(Fitted, match="^200$"):
+        sampling.conditional_outcome(df, df.withColumn("draw", F.lit(0)), "l_extendedprice", ["l_quantity"], 7)
+    assert inspect.signature(demos.sources).parameters["trees"].default == 200
+    models = evaluate._models(7)
+    assert (models["forest"].getNumTrees(), models["boosted"].getMaxIter()) == (100, 100)
