@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import random as rnd
-from attestra.functions.ordered import average_ranks, quantile_table, quantiles, row_numbers
+from attestra.functions.ordered import average_ranks, quantiles, row_numbers
 from attestra.functions.stats import normal_cdf_column, normal_quantile_column
 from attestra.operators.fidelity import smoothed_frequencies
 from attestra.operators.ingest import FieldMeta
 
-#: Points of a column's quantile function that are kept for its inverse.
-KNOTS = 1001
 #: Boosting rounds of a fitted outcome, as in the reference.
 ROUNDS = 200
 
@@ -140,12 +138,20 @@ def copula_uniforms(spark, factor: np.ndarray, n: int, seed: int) -> DataFrame:
     return base.select("draw", *[normal_cdf_column(m).alias(f"u{i}") for i, m in enumerate(mixed)])
 
 
-def quantile_inverse(u: Column, knots: list[float]) -> Column:
-    """Linear interpolation in evenly spaced quantiles."""
-    table = F.array(*[F.lit(float(k)) for k in knots])
-    place = F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0)) * F.lit(float(len(knots) - 1))
-    k = F.floor(place).cast("int")
-    return F.get(table, k) + (place - k) * (F.coalesce(F.get(table, k + 1), F.get(table, k)) - F.get(table, k))
+def exact_inverse(draws: DataFrame, u: str, df: DataFrame, c: str) -> DataFrame:
+    """draws with u replaced by the value between its neighbours among all sorted values of column c of df."""
+    x = df.select(F.col(c).cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    n = x.count()
+    if not n:
+        return draws.withColumn(u, F.lit(math.nan))
+    ranked = row_numbers(x, ["__x"], "__k")
+    low = ranked.select(F.col("__k").alias("__low"), F.col("__x").alias("__a"))
+    high = ranked.select(F.col("__k").alias("__high"), F.col("__x").alias("__b"))
+    place = F.least(F.greatest(F.col(u), F.lit(0.0)), F.lit(1.0)) * F.lit(float(n - 1))
+    at = draws.withColumn("__p", place).withColumn("__low", F.floor("__p").cast("long"))
+    at = at.withColumn("__high", F.least(F.col("__low") + 1, F.lit(n - 1).cast("long")))
+    value = F.col("__a") + (F.col("__p") - F.col("__low")) * (F.col("__b") - F.col("__a"))
+    return at.join(low, "__low").join(high, "__high").withColumn(u, value).select(*draws.columns)
 
 
 def discrete_inverse(u: Column, shares: list[tuple[object, float]]) -> Column:
@@ -160,7 +166,7 @@ def discrete_inverse(u: Column, shares: list[tuple[object, float]]) -> Column:
     return out
 
 
-def parametric_batch(df: DataFrame, fields: dict[str, FieldMeta], n: int, seed: int, knots: int = 101) -> DataFrame:
+def parametric_batch(df: DataFrame, fields: dict[str, FieldMeta], n: int, seed: int) -> DataFrame:
     """n rows of a Gaussian copula over all features: continuous ones by quantile inverse, others by their smoothed
     frequencies."""
     names = [m.name for m in fields.values() if not m.is_identifier]
@@ -171,12 +177,12 @@ def parametric_batch(df: DataFrame, fields: dict[str, FieldMeta], n: int, seed:
         elif m.name in names:
             coded = coded.withColumn(m.name, F.col(m.name).cast("double"))
     u = copula_uniforms(df.sparkSession, copula_factor(coded, names), n, seed)
-    inverse = quantile_table(df, [c for c in names if fields[c].kind == "continuous"], [k / (knots - 1) for k in range(knots)])
     out = []
     for i, c in enumerate(names):
         m = fields[c]
         if m.kind == "continuous":
-            out.append(quantile_inverse(F.col(f"u{i}"), inverse[c]).alias(c))
+            u = exact_inverse(u, f"u{i}", df, c)
+            out.append(F.col(f"u{i}").alias(c))
         else:
             values = m.categories if m.kind == "categorical" else sorted(set(m.numeric_values))
             shares = {r["value"]: r["p"] for r in smoothed_frequencies(df, c, values).collect()}
@@ -184,7 +190,7 @@ def parametric_batch(df: DataFrame, fields: dict[str, FieldMeta], n: int, seed:
     return u.select("draw", *out)
 
 
-def copula_baseline(df: DataFrame, columns: list[str], n: int, seed: int, binary: tuple[str, ...] = (), knots: int = 201) -> DataFrame:
+def copula_baseline(df: DataFrame, columns: list[str], n: int, seed: int, binary: tuple[str, ...] = ()) -> DataFrame:
     """n rows of a Gaussian copula with plotting positions (rank - 1/2) / n, scores held within 5, quantiles for marginals;
     binary columns are cut at one half."""
     size = df.count()
@@ -199,8 +205,9 @@ def copula_baseline(df: DataFrame, columns: list[str], n: int, seed: int, binary
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     factor = np.linalg.cholesky(cov / np.outer(sd, sd) + 1e-9 * np.eye(d))
     u = copula_uniforms(df.sparkSession, factor, n, seed)
-    inverse = quantile_table(df, columns, [k / (knots - 1) for k in range(knots)])
-    out = [quantile_inverse(F.col(f"u{i}"), inverse[c]).alias(c) for i, c in enumerate(columns)]
+    for i, c in enumerate(columns):
+        u = exact_inverse(u, f"u{i}", df, c)
+    out = [F.col(f"u{i}").alias(c) for i, c in enumerate(columns)]
     made = u.select("draw", *out)
     return made.withColumns({c: (F.col(c) >= 0.5).cast("double") for c in binary}) if binary else made
 

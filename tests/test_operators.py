@@ -321,3 +321,13 @@ def test_models_have_the_sizes_of_the_reference(spark, monkeypatch):
     assert inspect.signature(demos.sources).parameters["trees"].default == 200
     models = evaluate._models(7)
     assert (models["forest"].getNumTrees(), models["boosted"].getMaxIter()) == (100, 100)
+
+
+def test_copula_inverse_is_exact_on_a_skewed_column(spark):
+    x = np.sort(np.append(np.random.default_rng(3).exponential(size=499), 1e6))
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (math.nan,)], "x double")
+    draws = spark.createDataFrame([(i, i / 2000) for i in range(2001)], "draw long, u0 double")
+    got = {r.draw: r.u0 for r in sampling.exact_inverse(draws, "u0", df, "x").collect()}
+    assert len(got) == 2001 and np.allclose([got[i] for i in range(2001)], np.interp(np.arange(2001) / 2000 * 499, np.arange(500), x))
+    made = sampling.copula_baseline(df.where("x >= 0 and not isnan(x)"), ["x"], 2000, 7).toPandas().x
+    assert (made > x[-2]).mean() < 0.006
