@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.common import let, read_table, written
+from attestra.llm.common import let, read_table, running, written
 
 
 @dataclass(frozen=True)
@@ -134,6 +134,24 @@ def parse_turns(formatted: Column, template: Template = TEMPLATE) -> Column:
     return let(cut, lambda pieces: F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), turn))
 
 
+def masked_text(formatted: Column, spans: Column, template: Template = TEMPLATE) -> Column:
+    """All text of a formatted conversation that its loss mask covers, unescaped, read by the mask's places. Each place is
+    looked up in the turn that it lies in, so long conversations are not walked through anew for each."""
+
+    def turns(pieces: Column) -> Column:
+        after = running(F.transform(pieces, lambda p: F.length(p) + len(template.start)))  # where the next piece starts
+        return F.zip_with(pieces, after, lambda p, n: F.struct(p.alias("piece"), (n - len(template.start) - F.length(p)).alias("at")))
+
+    def read(turns: Column) -> Column:
+        def text(span: Column, i: Column) -> Column:
+            turn = F.get(turns, i + 1)
+            return F.when(span["loss"], template.unescape(F.substring(turn["piece"], (span["start"] - turn["at"] + 1).cast("int"), (span["end"] - span["start"]).cast("int")))).otherwise("")
+
+        return F.concat_ws("", F.transform(spans, text))
+
+    return let(let(F.split(formatted, rf"\Q{template.start}\E", -1), turns), read)
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -147,8 +165,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = chain.select(F.col("conv_id").alias("tree_id"), "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.lit(1.0).alias("score"))
     out = format_conversations(chain)
     out = out.withColumn("turns", parse_turns(F.col("formatted")))
-    loss = F.filter(F.arrays_zip("turns", "spans"), lambda x: x["spans"]["loss"])
-    out = out.withColumn("loss", F.concat_ws("", F.transform(loss, lambda x: x["turns"]["text"])))
+    out = out.withColumn("loss", masked_text(F.col("formatted"), F.col("spans")))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return out.select(
         F.col("tree_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

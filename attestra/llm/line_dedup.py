@@ -6,15 +6,18 @@ it. A map-side sum finds the windows that occur twice or more anywhere and the f
 
 Defined results: null text is empty; a text of fewer than three lines keeps them all; a null doc_id comes after all
 others; of rows that share an id, windows at the same place are one occurrence; an occurrence that overlaps the first
-one is a later one too, so a run of one line shrinks to a single one; a text may lose all its lines and is empty then; an empty table gives no rows; other columns are kept.
+one is a later one too, so a run of one line shrinks to a single one; a text may lose all its lines and is empty then; an
+empty table gives no rows; doc_id may be of any type that can be ordered; other columns are kept, one named n_lines or
+n_removed is replaced by the result's.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attestra.llm.common import hot_keys_join, let, read_table, text_key, written
+from attestra.llm.common import beside, hot_keys_join, let, read_table, text_key, written
 
 WINDOW = 3
 WORD = "[^ \t-\r]"
@@ -33,13 +36,20 @@ def _windows(docs: DataFrame) -> DataFrame:
 
         return F.when(F.size(lines) >= WINDOW, F.array_compact(F.transform(F.sequence(F.lit(0), F.size(lines) - WINDOW), window)))
 
-    at = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("w.pos")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):  # as a number, which a map-side sum keeps in place
+        at = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("w.pos")
+    else:
+        at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "w.pos")
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.explode(let(_lines(F.col("text")), hashes)).alias("w"))
     return rows.select("doc_id", "key", "w.pos", at.alias("at"), "w.h1", "w.h2")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with text less the lines of later occurrences, and n_lines and n_removed."""
+    return beside(docs, ("doc_id", "text"), _dedup_lines, ("n_lines", "n_removed"))
+
+
+def _dedup_lines(docs: DataFrame) -> DataFrame:
     windows = _windows(docs)
     repeated = windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n >= 2")
     repeated = written(repeated, "line-windows")

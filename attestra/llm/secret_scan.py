@@ -124,25 +124,29 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
     return query if strings is None else _trigrams(strings)
 
 
+def _number(doc_id: Column, text: Column) -> Column:
+    """What stands for a document in postings. Two documents of one number are candidates together; each is verified."""
+    return F.xxhash64(doc_id, text_key(text))
+
+
 def build_index(docs: DataFrame, grams: list[str], n_blocks: int) -> DataFrame:
-    """docs (doc_id, text) as postings (block, gram, docs): docs is an array<struct<doc_id,text_key>>. gram is the
-    place in grams."""
-    low = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    """docs (doc_id, text) as postings (block, gram, docs): docs is an array<bigint> of numbers. gram is the place in
+    grams."""
+    low = docs.select(_number(F.col("doc_id"), F.col("text")).alias("number"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     has = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    rows = low.select("doc_id", "text_key", F.explode(has).alias("gram"))
-    block = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(n_blocks))
-    return rows.groupBy(block.alias("block"), "gram").agg(F.array_distinct(F.collect_list(F.struct("doc_id", "text_key"))).alias("docs"))
+    rows = low.select("number", F.explode(has).alias("gram"))
+    return rows.groupBy(F.pmod("number", F.lit(n_blocks)).alias("block"), "gram").agg(F.collect_set("number").alias("docs"))
 
 
 def _tagged(kind: str):
-    return lambda d: F.struct(d["doc_id"].alias("doc_id"), d["text_key"].alias("text_key"), F.lit(kind).alias("rule"))
+    return lambda d: F.struct(d.alias("number"), F.lit(kind).alias("rule"))
 
 
 def candidates(index: DataFrame, grams: list[str], queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """(doc_id, text_key, rules): documents whose trigrams satisfy the query of a rule; rules has the kinds."""
+    """(number, rules): documents whose trigrams satisfy the query of a rule; rules has the kinds. Postings are sets of
+    numbers, so each intersection and union takes time in proportion to them."""
     blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "docs"))).alias("postings"))
-    kind = index.schema["docs"].dataType.simpleString()
-    none = F.array().cast(kind)
+    none = F.array().cast("array<bigint>")
 
     def having(gram: str) -> Column:
         return F.coalesce(F.try_element_at("postings", F.lit(grams.index(gram))), none)
@@ -158,7 +162,7 @@ def candidates(index: DataFrame, grams: list[str], queries: dict[str, list[froze
 
     rules = F.flatten(F.array(*[F.transform(matching(q), _tagged(k)) for k, q in queries.items()]))
     rows = blocks.select(F.explode(rules).alias("r")).select("r.*")
-    return rows.groupBy("doc_id", "text_key").agg(F.collect_set("rule").alias("rules"))
+    return rows.groupBy("number").agg(F.collect_set("rule").alias("rules"))
 
 
 def _rule_spans(rule: Rule, text: Column, gate: Column | None = None) -> Column:
@@ -182,18 +186,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, docs_per_block: int =
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     full = [r for r in rules if frozenset() in queries[r.kind]]
     indexed = {r.kind: queries[r.kind] for r in rules if r not in full}
-    keyed = docs.withColumn("text_key", text_key(F.col("text")))
-    whole = keyed.select("doc_id", "text_key", F.concat(F.array().cast("array<struct<start:int,end:int,kind:string>>"), *[_rule_spans(r, F.col("text")) for r in full]).alias("whole"))
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    scanned = [_rule_spans(r, F.col("text")) for r in full]
     if not indexed:
-        return whole.select("doc_id", F.col("whole").alias("spans"))
+        return docs.select("doc_id", F.concat(none, *scanned).alias("spans"))
     grams = sorted({g for q in indexed.values() for conj in q for g in conj})
     index = written(build_index(docs, grams, max(1, math.ceil(docs.count() / docs_per_block))), "secret-index")
-    found = written(candidates(index, grams, indexed), "secret-candidates").withColumnsRenamed({"doc_id": "id", "text_key": "key"})
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
+    found = written(candidates(index, grams, indexed), "secret-candidates")
     # texts meet their candidates by a shuffle at every size: the candidates grow with the input
-    picked = keyed.join(found.hint("merge"), same).dropDuplicates(["doc_id", "text_key"])
-    verified = picked.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.concat(*[_rule_spans(r, F.col("text"), F.array_contains("rules", r.kind)) for r in rules if r.kind in indexed]).alias("more"))
-    return whole.join(verified, same, "left").select("doc_id", F.when(F.col("more").isNull(), F.col("whole")).otherwise(F.concat("whole", "more")).alias("spans"))
+    told = docs.withColumn("number", _number(F.col("doc_id"), F.col("text"))).join(found.hint("merge"), "number", "left")
+    verified = [_rule_spans(r, F.col("text"), F.array_contains("rules", r.kind)) for r in rules if r.kind in indexed]
+    return told.select("doc_id", F.concat(none, *scanned, *verified).alias("spans"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

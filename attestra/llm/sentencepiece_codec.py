@@ -1,23 +1,29 @@
 """Operator 3, SentencePiece encoding and decoding: streaming Viterbi over the pieces of a .model file.
 
-The best segmentation is built from left to right. Only a window as long as the longest piece is kept: for each place in
-it the best score and the way back. When the ways back of all places in the window meet in one boundary, whatever
-follows keeps what lies before it, so its ids are committed and forgotten. Between two characters that stand side by
-side in no piece all ways meet by construction, so texts are cut there and the ids of a stretch are remembered.
-
-Scores: a unigram model's own scores, in whole millionths. A model of merges holds no probabilities, only the order of
-its merges; its pieces get Zipf's law over that order, -ln(1 + place). Ids are therefore the best under those scores
-and need not be those that merging gives; decoding is the library's either way. Ties go to the longer last piece. A
-character without a piece costs more than any piece and becomes its UTF-8 bytes where the model has byte pieces, else
-the unknown id.
+The segmentation is built from left to right over a lattice whose arcs are pieces. Only a window is kept: for each place
+in it the surviving way back. When the ways back of all places from which a piece can still go on meet in one boundary,
+whatever follows keeps what lies before it, so its ids are committed and forgotten. Between two characters that stand
+side by side in no piece all ways meet by construction; what lies between two such boundaries is a run, and a worker
+remembers what it has committed for a run. Every run that it does not know goes through the window.
+
+Weights: a unigram model's arcs weigh its own scores, in whole millionths, ties going to the longer last piece. A model
+of merges holds no scores but an order of merges. There an arc may follow another only if merging the text of both
+leaves just these two, and all arcs weigh the same. A sequence of pieces is what merging gives for its text if and only
+if that holds for all its neighbours: merges inside two neighbours come in the same order whatever stands around them,
+so the first merge across a boundary would show in that pair alone. So each place has exactly one way back, the last
+piece of what merging gives for the text up to there, and the ids are the library's. A character without a piece is a
+symbol of its own, becoming its UTF-8 bytes where the model has byte pieces, else the unknown id; in a unigram model it
+costs more than any piece.
 
 Defined results: null text is empty and gives no ids; decode(encode(text)) is the text wherever the model has byte
 pieces, texts that contain the space mark itself apart, which decode to spaces; repeated rows each give their row; an
-empty table gives no rows; other columns are kept.
+empty table gives no rows; other columns are kept, one named like a result (token_ids, n_commits, decoded, restored) is
+replaced by it.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -35,8 +41,8 @@ ship(__name__)
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches whose ids a worker remembers; beyond that it starts anew. Longer stretches are not remembered.
-HELD, LONGEST = 400_000, 64
+#: Characters of runs whose ids a worker remembers; beyond that it starts anew.
+HELD_CHARS = 6_000_000
 _LEAST = -(10**18)
 
 
@@ -49,14 +55,16 @@ class Codec:
         pieces = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         own = [sp.get_score(i) for i in plain]
-        merges = all(float(s).is_integer() for s in own)
-        millionths = [-round(1e6 * math.log(1 + k)) for k in range(1, len(plain) + 1)] if merges else [round(1e6 * s) for s in own]
+        self.merges = all(float(s).is_integer() for s in own)
         self.bytes = {int(pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.text = {i: pieces[i] for i in plain}
+        #: place in the order of merges, for a model of merges
+        self.order = {pieces[i]: -s for i, s in zip(plain, own, strict=True)} if self.merges else {}
+        millionths = [round(1e6 * s) for s in own]
         self.unknown = sp.unk_id()
         self.penalty = min(millionths) - 10_000_000
         self.reach = max(len(pieces[i]) for i in plain)
-        # trie: character -> [children, (id, score) or None]
+        # trie: character -> [children, (id, weight) or None]
         self.trie: dict = {}
         for i, s in zip(plain, millionths, strict=True):
             node = self.trie
@@ -64,10 +72,10 @@ class Codec:
                 node = node.setdefault(c, [{}, None])[0]
             node.setdefault(pieces[i][-1], [{}, None])[1] = (i, s)
         self.pairs = {p[i : i + 2] for p in self.text.values() for i in range(len(p) - 1)}
-        # runs that a first cut finds: at space marks, where no piece crosses them, and at characters without a piece
+        # what a first cut finds: at space marks, where no piece crosses them, and at characters without a piece
         letters = re.escape("".join(sorted({c for p in self.text.values() for c in p} - {MARK})))
         inner = any(MARK in p.lstrip(MARK) for p in self.text.values())
-        self.runs = re.compile(f"[{letters}{MARK}]+|[^{letters}{MARK}]" if inner else f"{MARK}+[{letters}]*|[{letters}]+|[^{letters}{MARK}]") if letters else re.compile(r"[\s\S]+")
+        self.parts = re.compile(f"[{letters}{MARK}]+|[^{letters}{MARK}]" if inner else f"{MARK}+[{letters}]*|[{letters}]+|[^{letters}{MARK}]") if letters else re.compile(r"[\s\S]+")
         spoken = [b""] * n
         for i, p in self.text.items():
             spoken[i] = p.replace(MARK, " ").encode()
@@ -76,14 +84,38 @@ class Codec:
         if self.unknown >= 0:
             spoken[self.unknown] = " ⁇ ".encode()
         self.spoken = spoken
-        self.known: dict[str, bytes] = {}
+        #: what has been committed for a part: its ids, four bytes each, and in how many commits
+        self.known: dict[str, tuple[bytes, int]] = {}
+        self.held_chars = 0
+        self.stays: dict[tuple[int, int], bool] = {}
+
+    def _stay(self, left: int, right: int) -> bool:
+        """Whether merging the text of two symbols leaves just these two. A symbol is an id, or ~code point of a
+        character without a piece."""
+        found = self.stays.get((left, right))
+        if found is None:
+            a, b = (self.text[x] if x >= 0 else chr(~x) for x in (left, right))
+            found = self.stays[left, right] = self._merged(a + b) == [a, b]
+        return found
+
+    def _merged(self, text: str) -> list[str]:
+        """What merging gives for the text of two symbols: earliest merge first, from the left."""
+        order, symbols = self.order, list(text)
+        while True:
+            ranks = [order.get(a + b, math.inf) for a, b in itertools.pairwise(symbols)]
+            best = min(ranks, default=math.inf)
+            if best == math.inf:
+                return symbols
+            k = ranks.index(best)
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
 
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a text of space marks and letters, in the runs in which they are committed."""
-        trie, reach, penalty = self.trie, self.reach, self.penalty
+        trie, reach, pairs, stay, merges = self.trie, self.reach, self.pairs, self._stay, self.merges
+        buffer = iter(chars)
         window: list[str] = []  # characters from place start on
         score, back, piece = [0], [-1], [-1]  # of the boundaries start, start + 1, ...
-        buffer = iter(chars)
+        first = True  # start has no piece before it that could merge with what follows
         pos, ended = 0, False  # pos: how many places of the window have been extended
         while True:
             while not ended and len(window) - pos < reach:
@@ -97,53 +129,43 @@ class Codec:
                     piece.append(-1)
             if pos == len(window):
                 break
-            here, node, j = score[pos], trie, pos
+            if pos and window[pos - 1] + window[pos] not in pairs:  # no piece goes across: all ways meet here
+                yield self._ids(window, back, piece, pos)
+                window, score, back, piece = window[pos:], [0, *score[pos + 1 :]], [-1, *back[pos + 1 :]], [-1, *piece[pos + 1 :]]
+                pos, first = 0, True
+            here, last, node, j = score[pos], piece[pos], trie, pos
             single = False
+            free = not merges or (first and not pos)
             while j < len(window):
                 entry = node.get(window[j])
                 if entry is None:
                     break
                 j += 1
-                if entry[1] is not None:
-                    i, s = entry[1]
+                node, found = entry
+                if found is not None:
+                    i, s = found
                     single = single or j == pos + 1
-                    if here + s > score[j]:
+                    if merges:
+                        if back[j] < 0 and (free or stay(last, i)):
+                            back[j], piece[j] = pos, i
+                    elif here + s > score[j]:
                         score[j], back[j], piece[j] = here + s, pos, i
-                node = entry[0]
-            if not single and here + penalty > score[pos + 1]:
-                score[pos + 1], back[pos + 1], piece[pos + 1] = here + penalty, pos, -1
+            if not single:
+                sign = ~ord(window[pos])
+                if merges:
+                    if back[pos + 1] < 0 and (free or stay(last, sign)):
+                        back[pos + 1], piece[pos + 1] = pos, sign
+                elif here + self.penalty > score[pos + 1]:
+                    score[pos + 1], back[pos + 1], piece[pos + 1] = here + self.penalty, pos, sign
             pos += 1
             if pos >= 2 * reach and not pos % reach:
                 cut = self._meeting(back, pos)
                 if cut:
                     yield self._ids(window, back, piece, cut)
-                    window, score, back, piece = window[cut:], [x - score[cut] if x > _LEAST else x for x in score[cut:]], [b - cut for b in back[cut:]], piece[cut:]
-                    pos -= cut
-        yield self._ids(window, back, piece, len(window))
-
-    def _short(self, part: str) -> list[int]:
-        """What stream() commits for a text that ends within its first windows, in one run."""
-        n, trie, penalty = len(part), self.trie, self.penalty
-        score, back, piece = [_LEAST] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
-        score[0] = 0
-        for pos in range(n):
-            here, node, j, after = score[pos], trie, pos, pos + 1
-            single = False
-            while j < n:
-                entry = node.get(part[j])
-                if entry is None:
-                    break
-                j += 1
-                node, found = entry
-                if found is not None:
-                    if j == after:
-                        single = True
-                    s = here + found[1]
-                    if s > score[j]:
-                        score[j], back[j], piece[j] = s, pos, found[0]
-            if not single and here + penalty > score[after]:
-                score[after], back[after], piece[after] = here + penalty, pos, -1
-        return self._ids(part, back, piece, n)
+                    window, score, back, piece = window[cut:], [x - score[cut] if x > _LEAST else x for x in score[cut:]], [b - cut if b >= cut else -1 for b in back[cut:]], piece[cut:]
+                    pos, first = pos - cut, False
+        if window:
+            yield self._ids(window, back, piece, len(window))
 
     def _meeting(self, back: list[int], pos: int) -> int:
         """The last boundary through which the ways back from all places that are still in reach go."""
@@ -156,7 +178,7 @@ class Codec:
                 return 0
         return fronts.pop()
 
-    def _ids(self, window: list[str] | str, back: list[int], piece: list[int], end: int) -> list[int]:
+    def _ids(self, window: list[str], back: list[int], piece: list[int], end: int) -> list[int]:
         out: list[int] = []
         while end > 0:
             start = back[end]
@@ -169,51 +191,58 @@ class Codec:
             end = start
         return out[::-1]
 
-    def _stretch(self, part: str) -> bytes:
-        """Ids of a run, four bytes each; cut where no piece crosses, and remembered."""
-        known, pairs = self.known, self.pairs
-        out, start = [], 0
-        for i in range(1, len(part) + 1):
-            if i == len(part) or part[i - 1 : i + 1] not in pairs:
-                sub = part[start:i]
-                ids = known.get(sub)
-                if ids is None:
-                    if len(sub) <= LONGEST:
-                        ids = known[sub] = np.array(self._short(sub), np.int32).tobytes()
-                    else:
-                        ids = b"".join(np.array(run, np.int32).tobytes() for run in self.stream(sub))
-                out.append(ids)
-                start = i
-        return b"".join(out)
-
-    def encode_bytes(self, text: str | None) -> bytes:
-        """encode() as little-endian numbers of four bytes."""
+    def _streamed(self, part: str) -> tuple[bytes, int]:
+        """What stream() commits for a part, which is then remembered."""
+        ids: list[int] = []
+        commits = 0
+        for run in self.stream(part):
+            ids += run
+            commits += 1
+        self.held_chars += len(part)
+        out = self.known[part] = np.array(ids, np.int32).tobytes(), commits
+        return out
+
+    def encode_counted(self, text: str | None) -> tuple[bytes, int]:
+        """encode() as little-endian numbers of four bytes, and in how many commits they came."""
         if not text:
-            return b""
+            return b"", 0
         known = self.known
-        if len(known) > HELD:
+        if self.held_chars > HELD_CHARS:
             known.clear()
-        stretch = self._stretch
-        return b"".join([known.get(p) or stretch(p) for p in self.runs.findall(MARK + text.replace(" ", MARK))])
+            self.stays.clear()
+            self.held_chars = 0
+        streamed = self._streamed
+        found = [known.get(p) or streamed(p) for p in self.parts.findall(MARK + text.replace(" ", MARK))]
+        return b"".join([x[0] for x in found]), sum([x[1] for x in found])
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
+        return np.frombuffer(self.encode_counted(text)[0], np.int32).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.spoken.__getitem__, ids)).decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 
-def _encoder(handed):
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def _encoder(handed, checked: bool):
+    """Adds token_ids and n_commits, and with checked whether decoding gives the text back."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = held(handed, Codec)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 b = batch.slice(i, 256)
-                ids = [codec.encode_bytes(t) for t in b.column(b.num_columns - 1).to_pylist()]
-                offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
-                flat = np.frombuffer(b"".join(ids), np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*b.schema.names, "token_ids"])
+                texts = b.column(b.num_columns - 1).to_pylist()
+                found = [codec.encode_counted(t) for t in texts]
+                more, names = [_lists([x for x, _ in found]), pa.array([n for _, n in found], pa.int64())], ["token_ids", "n_commits"]
+                if checked:
+                    same = [codec.decode(np.frombuffer(x, np.int32).tolist()) == (t or "") for (x, _), t in zip(found, texts, strict=True)]
+                    more, names = [*more, pa.array(same, pa.bool_())], [*names, "restored"]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
 
     return encode
 
@@ -230,22 +259,6 @@ def _decoder(handed):
     return decode
 
 
-def _round_tripper(handed):
-    def round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = held(handed, Codec)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                b = batch.slice(i, 256)
-                texts = b.column(b.num_columns - 1).to_pylist()
-                ids = [codec.encode_bytes(t) for t in texts]
-                offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
-                flat = np.frombuffer(b"".join(ids), np.int32)
-                same = [codec.decode(np.frombuffer(x, np.int32).tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(same, pa.bool_())], names=[*b.schema.names, "token_ids", "restored"])
-
-    return round_trip
-
-
 def _mapped(df: DataFrame, last: str, function, added: dict[str, T.DataType], model: bytes) -> DataFrame:
     """df with what function makes of column last, which the function sees at the end."""
     Codec(model)  # refuse here what the workers would
@@ -255,12 +268,13 @@ def _mapped(df: DataFrame, last: str, function, added: dict[str, T.DataType], mo
     return rows.mapInArrow(function(handed), schema)
 
 
-_IDS = {"token_ids": T.ArrayType(T.IntegerType())}
+_IDS = {"token_ids": T.ArrayType(T.IntegerType()), "n_commits": T.LongType()}
 
 
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
-    """docs (text, ...) with token_ids array<int>. model is the content of a .model file, of a few megabytes."""
-    return _mapped(docs, "text", _encoder, _IDS, model)
+    """docs (text, ...) with token_ids array<int> and n_commits, in how many commits they came. model is the content of a
+    .model file, of a few megabytes."""
+    return _mapped(docs, "text", lambda handed: _encoder(handed, False), _IDS, model)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -269,9 +283,9 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
-    """docs (text, ...) with token_ids and restored: whether decoding them gives the text (null: empty) back. Encoder and
-    decoder run in one pass, so texts go to the workers once."""
-    return _mapped(docs, "text", _round_tripper, _IDS | {"restored": T.BooleanType()}, model)
+    """docs (text, ...) with token_ids, n_commits and restored: whether decoding them gives the text (null: empty) back.
+    Encoder and decoder run in one pass, so texts go to the workers once."""
+    return _mapped(docs, "text", lambda handed: _encoder(handed, True), _IDS | {"restored": T.BooleanType()}, model)
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -287,4 +301,4 @@ def model_bytes(path: str | None = None) -> bytes:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Ids of all documents, and whether decoding gives each text back; path is the .model file."""
     out = round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model_bytes(path))
-    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_ids"), F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"), "restored")
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_ids"), "n_commits", F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"), "restored")

@@ -164,8 +164,26 @@ def test_simhash(spark, sf_dir, docs):
 
 
 def test_sentencepiece(spark, sf_dir, docs):
+    """Ids against the library and a full table, commits, and the round trip, of every document."""
+    import sentencepiece
+
+    from attestra.llm import sentencepiece_codec
+    from tests.llm.test_operators import full_viterbi
+
+    model = sentencepiece_codec.model_bytes()
+    lib, codec = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_codec.Codec(model)
     rows = QUERIES["op3_sentencepiece"](spark, sf_dir).collect()
-    assert len(rows) == len(docs) and all(r.restored for r in rows)
+    assert len(rows) == len(docs) and all(r.restored for r in rows) and sum(r.n_commits for r in rows) > len(docs)
+    known = {}
+    for r in rows:
+        ids = lib.encode(docs[r.doc_id])
+        table = []
+        for part in re.findall("▁[^▁]*|[^▁]+", "▁" + docs[r.doc_id].replace(" ", "▁")):  # no piece has a mark inside
+            if part not in known:
+                known[part] = full_viterbi(codec, part) if len(part) < 80 else codec.encode(part[1:])
+            table += known[part]
+        assert r.n_ids == len(ids) and r.ids_sha256 == sha(",".join(map(str, ids)))
+        assert not docs[r.doc_id] or table == ids
 
 
 def test_pipeline(spark, sf_dir):
