@@ -7,8 +7,9 @@ than it in a vocabulary that was built by merging, so this gives what merging on
 
 Supported: tokenizers files of the kind word_bpe_49k.json (BPE with or without an end-of-word mark, NFC, runs of white
 space replaced, lower case, a split pattern that keeps matches, byte-level symbols, special tokens that are cut out of
-the raw text); what a file asks for beyond that is refused. Characters are classed by the Unicode version of the
-installed regex package, which may know letters that the tokenizers package does not know yet.
+the raw text); what a file asks for beyond that is refused. Texts are normalised by the tokenizers package. The split
+pattern is run by the regex package; where its classes of letters, numbers and white space differ from those of the
+tokenizers package, which is asked about every code point once, a character of the right class stands in.
 
 Defined results: null text is empty and has no tokens; repeated rows each give their row; an empty table gives no
 rows; other columns are ignored.
@@ -17,12 +18,13 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,18 +46,41 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(256 + sum(1 for x in range(b) if x not in shown)) for b in range(256)]
 
 
+#: The classes of a split pattern, and a character of each that no contraction has; the last is of none of them.
+_CLASSES = {r"\p{L}": "é", r"\p{N}": "½", r"\s": " ", "": "\x01"}
+
+
+def class_exceptions() -> dict[int, str]:
+    """Code points that the regex package puts in another class than the tokenizers package, with a character of the class
+    that the latter puts them in."""
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    theirs, ours = np.zeros(len(every), np.int8), np.zeros(len(every), np.int8)
+    for k, name in enumerate(list(_CLASSES)[:3], 1):
+        theirs[:] = np.where(theirs, theirs, k)
+        for _, (start, end) in tokenizers.pre_tokenizers.Split(tokenizers.Regex(name), "removed").pre_tokenize_str(every):
+            theirs[start:end] = np.where(theirs[start:end] == k, 0, theirs[start:end])
+        for m in regex.finditer(f"[{_unicode(name)}]+", every):
+            ours[m.start() : m.end()] = np.where(ours[m.start() : m.end()], ours[m.start() : m.end()], k)
+    stand_in = [_CLASSES[""], *list(_CLASSES.values())[:3]]
+    return {ord(every[i]): stand_in[theirs[i]] for i in np.flatnonzero(theirs != ours).tolist()}
+
+
 class BpeCounter:
-    def __init__(self, spec: str):
+    """spec is the content of a tokenizers file; exceptions are class_exceptions(), which are found where not given."""
+
+    def __init__(self, spec: str | tuple[str, dict[int, str]]):
+        spec, exceptions = spec if isinstance(spec, tuple) else (spec, class_exceptions())
         d = json.loads(spec)
         model = d["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
             raise ValueError("not a plain BPE model")
         steps = d["normalizer"]["normalizers"] if (d["normalizer"] or {}).get("type") == "Sequence" else [d["normalizer"]] if d["normalizer"] else []
-        self.steps = []
         for s in steps:
             if s["type"] not in ("NFC", "Replace", "Lowercase"):
                 raise ValueError(f"unknown normalizer {s['type']}")
-            self.steps.append((s["type"], regex.compile(_unicode(s["pattern"]["Regex"])) if s["type"] == "Replace" else None, s.get("content")))
+        self.normalizer = tokenizers.Tokenizer.from_str(spec).normalizer if steps else None
+        self.exceptions = exceptions
+        self.exceptional = re.compile(_ranges(sorted(exceptions))) if exceptions else None
         split, level = d["pre_tokenizer"]["pretokenizers"]
         if (split["type"], split["behavior"], split["invert"], level["type"], level["add_prefix_space"], level["use_regex"]) != ("Split", "Removed", True, "ByteLevel", False, False):
             raise ValueError("unknown pre-tokenizer")
@@ -117,15 +142,12 @@ class BpeCounter:
             rank = np.where(owner[:-1] == owner[1:], self._rank(symbols[:-1], symbols[1:]), _NONE)
         return counts
 
-    def normalise(self, text: str) -> str:
-        for kind, pattern, content in self.steps:
-            if kind == "NFC":
-                text = unicodedata.normalize("NFC", text)
-            elif kind == "Replace":
-                text = pattern.sub(content, text)
-            else:  # letter by letter, so a sigma is the same everywhere
-                text = text.replace("Σ", "σ").lower()
-        return text
+    def pre_tokens(self, text: str) -> list[str]:
+        if self.normalizer:
+            text = self.normalizer.normalize_str(text)
+        if text.isascii() or not self.exceptional or not self.exceptional.search(text):
+            return self.split.findall(text)
+        return [text[m.start() : m.end()] for m in self.split.finditer(text.translate(self.exceptions))]
 
     def count(self, texts: list[str | None]) -> list[int]:
         totals, parts = [], []
@@ -136,7 +158,7 @@ class BpeCounter:
                 n = len(pieces) - 1
                 for p in pieces:
                     if p:
-                        found += self.split.findall(self.normalise(p))
+                        found += self.pre_tokens(p)
             totals.append(n)
             parts.append(found)
         if len(self.known) > HELD:
@@ -149,9 +171,20 @@ class BpeCounter:
         return [n + sum(map(known.__getitem__, found)) for n, found in zip(totals, parts, strict=True)]
 
 
+def _ranges(points: list[int]) -> str:
+    """A character class of sorted code points."""
+    runs: list[list[int]] = []
+    for c in points:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]"
+
+
 def _unicode(pattern: str) -> str:
     """White space is what Unicode calls so."""
-    return pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
+    return pattern.replace(r"\s", r"\p{White_Space}")
 
 
 def _counter(handed, limit: int):
@@ -172,8 +205,9 @@ def _counter(handed, limit: int):
 def count_tokens(docs: DataFrame, spec: str, limit: int = LIMIT) -> DataFrame:
     """docs (doc_id, text) as (doc_id, n_bytes, n_tokens, over_limit). spec is the content of a tokenizers file, of a few
     megabytes; it is handed to every worker once."""
-    BpeCounter(spec)  # refuse here what the workers would
-    handed = docs.sparkSession.sparkContext.broadcast({"content": spec})
+    exceptions = class_exceptions()
+    BpeCounter((spec, exceptions))  # refuse here what the workers would
+    handed = docs.sparkSession.sparkContext.broadcast({"content": (spec, exceptions)})
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text")).mapInArrow(_counter(handed, limit), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 

@@ -313,6 +313,21 @@ def test_token_counts_of_hard_texts():
     assert counter.count([None, ""]) == [0, 0]
 
 
+def test_token_counts_of_every_code_point():
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        counter = token_count.BpeCounter(f.read())
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for pattern in ("{}", "a{}b", "1{}2"):
+        made = [pattern.format(c) for c in every]
+        for i in range(0, len(made), 1 << 18):
+            assert counter.count(made[i : i + (1 << 18)]) == [len(e.ids) for e in lib.encode_batch(made[i : i + (1 << 18)], add_special_tokens=False)]
+
+
 def test_token_counts_odd(odd):
     import public_tokenizers
 
