@@ -7,14 +7,18 @@ window, a rolling window of the one meets a reference block of the other, and no
 2. around each hit the windows of 35 words that hold it are verified, and maximal exact repeats are the runs of those
    that occur again.
 
-Texts are dealt into groups of a few megabytes by a hash. A group sends each of its distinct hashes once, five bytes
-each, to the bucket of its leading bits, so a passage of any number of copies costs a bucket one entry a group; the
-bucket answers each group with those that were found elsewhere. Both rounds do so, and all of them read one shuffle of
-the texts.
+Comparing places pair by pair would be quadratic in the copies of a passage, so a hit is extended by one window after
+the other: every window of 35 words that holds the hit is looked up among those of all other hits.
+
+Texts are dealt into groups of a few megabytes by a hash of their row, so copies of one row are spread like any others. A
+group sends each of its distinct hashes once to the bucket of its leading bits - five bytes for a rolling window, twelve
+for a window of 35 words - so a passage of any number of copies costs a bucket one entry a group; the bucket answers each
+group with those that were found elsewhere. Both rounds do so, and all of them read one shuffle of the texts.
 
 Defined results: null text has no words; a text of fewer than 35 words keeps them all; repeated rows are copies of
-each other like any others; an empty table gives no rows; other columns are ignored. Windows are told apart by 64 bits
-of hash within a bucket.
+each other like any others; an empty table gives no rows; other columns are ignored. The first round only proposes, so a
+clash of its short hashes removes nothing; windows of 35 words are told apart by 95 bits, made of 128 bits of each word:
+among 10**13 windows one false pair is expected in a thousand such tables.
 """
 
 from __future__ import annotations
@@ -37,7 +41,9 @@ GROUP_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 _ODD = 0x9E3779B97F4A7C15
 _LOW = 38
 _HELD = 400_000
-_cache: dict[bytes, int] = {}
+_cache: dict[bytes, bytes] = {}
+#: A window of full size: 64 bits of hash, 31 more, and whether its group has it more than once in the lowest bit.
+_ENTRY = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 def block_size(window: int) -> int:
@@ -46,15 +52,12 @@ def block_size(window: int) -> int:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """128 bits of each word as two columns."""
     if len(_cache) > _HELD:
         _cache.clear()
-    get, out = _cache.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _cache[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    for w in set(words).difference(_cache):
+        _cache[w] = xxhash.xxh3_128_digest(w)
+    return np.frombuffer(b"".join(map(_cache.__getitem__, words)), "<u8").reshape(-1, 2)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -80,7 +83,8 @@ class _Texts:
         self.words = [(texts[i] or "").encode().split() for i in order]
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
-        self.hashes = np.concatenate([_word_hashes(w) for w in self.words] or [np.zeros(0, np.uint64)])
+        both = np.concatenate([_word_hashes(w) for w in self.words] or [np.zeros((0, 2), np.uint64)])
+        self.hashes, self.others = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
         # words from a place to the end of its text, and from its start
         self.left = np.repeat(self.ends, self.sizes) - np.arange(len(self.hashes))
         self.done = np.repeat(self.sizes, self.sizes) - self.left
@@ -91,6 +95,14 @@ class _Texts:
         at = np.flatnonzero(self.left[: len(h)] >= size)
         return at, h[at]
 
+    def entries(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of whole windows, and their hashes as _ENTRY with the lowest bit clear."""
+        at, a = self.windows(size)
+        out = np.empty(len(at), _ENTRY)
+        out["a"] = a
+        out["b"] = (window_hashes(self.others, size)[at] >> np.uint64(32)).astype(np.uint32) & ~np.uint32(1)
+        return at, out
+
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
@@ -144,6 +156,13 @@ def _anchors(window: int, n_buckets: int):
     return send
 
 
+def _sorted_entries(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of entries by hash, and where a new hash begins in that order."""
+    order = np.lexsort([x["b"], x["a"]])
+    a, b = x["a"][order], x["b"][order] >> np.uint32(1)
+    return order, np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(x) else np.zeros(0, bool)
+
+
 def _answers(groups: np.ndarray, values: np.ndarray) -> pa.Table:
     order = np.argsort(groups, kind="stable")
     groups, values = groups[order], values[order]
@@ -152,23 +171,22 @@ def _answers(groups: np.ndarray, values: np.ndarray) -> pa.Table:
     return pa.table({"g": pa.array(groups[starts]), "hits": pa.array([values[s:e].tobytes() for s, e in zip(starts.tolist(), ends, strict=False)], pa.binary())})
 
 
-def _found(table: pa.Table, unpack, flag_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries of a bucket by value: groups, values, the place of each one's run of equal values, the runs' starts."""
+def _received(table: pa.Table, unpack, kind) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's groups and values."""
     blobs = [unpack(b) for b in table.column("blob").to_pylist()]
-    groups = np.repeat(table.column("g").to_numpy(), [len(b) for b in blobs])
-    values = np.concatenate(blobs or [np.zeros(0, np.uint64)])
-    order = np.argsort(values)
-    groups, values = groups[order], values[order]
-    plain = values >> np.uint64(flag_bits)
-    new = np.append(True, plain[1:] != plain[:-1]) if len(plain) else np.zeros(0, bool)
-    return groups, values, np.cumsum(new) - 1, np.flatnonzero(new)
+    return np.repeat(table.column("g").to_numpy(), [len(b) for b in blobs]), np.concatenate(blobs or [np.zeros(0, kind)])
 
 
 def _probe(key, table):
     """The values that a block has, and that occur at two places or more, back to each group that sent them."""
-    groups, values, run, starts = _found(table, _unpack, 2)
+    groups, values = _received(table, _unpack, np.uint64)
     if not len(values):
         return _answers(groups, values)
+    order = np.argsort(values)
+    groups, values = groups[order], values[order]
+    plain = values >> np.uint64(2)
+    new = np.append(True, plain[1:] != plain[:-1])
+    run, starts = np.cumsum(new) - 1, np.flatnonzero(new)
     several = np.add.reduceat(np.ones(len(values), np.int64) + (values & np.uint64(1)).astype(np.int64), starts) > 1
     block = np.bitwise_or.reduceat(values & np.uint64(2), starts) > 0
     hit = (several & block)[run]
@@ -183,14 +201,28 @@ def _is_in(x: np.ndarray, table: pa.Table) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
+def _has_entry(x: np.ndarray, table: pa.Table) -> np.ndarray:
+    """Which entries are among those that came back."""
+    known = np.concatenate([np.frombuffer(b, _ENTRY) for b in table.column("hits").to_pylist()] or [np.zeros(0, _ENTRY)])
+    order, new = _sorted_entries(known)
+    known = known[order][new]
+    out = np.zeros(len(x), bool)
+    if not len(known) or not len(x):
+        return out
+    first = np.searchsorted(known["a"], x["a"])
+    for k in range(int(np.unique(known["a"], return_counts=True)[1].max())):  # one, unless two share 64 bits
+        at = np.minimum(first + k, len(known) - 1)
+        out |= (known["a"][at] == x["a"]) & (known["b"][at] >> np.uint32(1) == x["b"] >> np.uint32(1))
+    return out
+
+
 def _extensions(window: int, n_buckets: int):
     size = block_size(window)
 
     def send(key, left, right):
         """A group's distinct windows that hold a hit; the lowest bit tells whether the group has it twice."""
-        empty = np.zeros(0, np.uint64)
         if not left.num_rows or not right.num_rows:
-            return _sent(0, empty, empty, n_buckets, bytes)
+            return _sent(0, np.zeros(0, np.uint64), np.zeros(0, _ENTRY), n_buckets, bytes)
         texts = _Texts(left)
         at, h = texts.windows(size)
         hit = at[_is_in((_bucket(h, n_buckets) << np.uint64(_LOW)) | (h & np.uint64((1 << _LOW) - 1)), right)]
@@ -198,23 +230,29 @@ def _extensions(window: int, n_buckets: int):
         np.add.at(edge, np.maximum(hit - (window - size), hit - texts.done[hit]), 1)  # windows that start from there
         np.add.at(edge, hit + 1, -1)  # to the hit itself hold it
         held = np.cumsum(edge) > 0
-        at, h = texts.windows(window)
-        h = np.sort(h[held[at]] & ~np.uint64(1))
-        new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
-        many = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
-        h = h[new]
-        return _sent(key[0].as_py(), h, h | many.astype(np.uint64), n_buckets, lambda x: x.tobytes())
+        at, entries = texts.entries(window)
+        entries = entries[held[at]]
+        order, new = _sorted_entries(entries)
+        entries = entries[order]
+        many = np.diff(np.append(np.flatnonzero(new), len(entries))) > 1
+        entries = entries[new]
+        entries["b"] |= many.astype(np.uint32)
+        return _sent(key[0].as_py(), entries["a"], entries, n_buckets, lambda x: x.tobytes())
 
     return send
 
 
 def _verify(key, table):
-    groups, values, run, starts = _found(table, lambda b: np.frombuffer(b, "<u8"), 1)
+    """The windows that occur at two places or more, back to each group that sent them."""
+    groups, values = _received(table, lambda b: np.frombuffer(b, _ENTRY), _ENTRY)
     if not len(values):
         return _answers(groups, values)
-    several = np.add.reduceat(np.ones(len(values), np.int64) + (values & np.uint64(1)).astype(np.int64), starts) > 1
+    order, new = _sorted_entries(values)
+    groups, values = groups[order], values[order]
+    run, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+    several = np.add.reduceat(np.ones(len(values), np.int64) + (values["b"] & np.uint32(1)).astype(np.int64), starts) > 1
     hit = several[run]
-    return _answers(groups[hit], values[hit] & ~np.uint64(1))
+    return _answers(groups[hit], values[hit])
 
 
 def _cut(window: int, kind: pa.DataType):
@@ -222,8 +260,8 @@ def _cut(window: int, kind: pa.DataType):
         texts = _Texts(left)
         gone = np.zeros(len(texts.hashes), bool)
         if right.num_rows:
-            at, h = texts.windows(window)
-            at = at[_is_in(h & ~np.uint64(1), right)]
+            at, entries = texts.entries(window)
+            at = at[_has_entry(entries, right)]
             edge = np.zeros(len(gone) + 1, np.int64)
             edge[at] += 1
             edge[at + window] -= 1
@@ -248,7 +286,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, group_bytes: int = G
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_groups, n_buckets = max(1, math.ceil(total / group_bytes)), max(1, math.ceil(total / bucket_bytes))
-    grouped = docs.select(F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(n_groups)).alias("g"), "doc_id", "text")
+    # a row's number is the same whenever its partition is read again
+    grouped = docs.select(F.pmod(F.xxhash64("doc_id", text_key(F.col("text")), F.monotonically_increasing_id()), F.lit(n_groups)).alias("g"), "doc_id", "text")
     sent = grouped.groupBy("g").applyInArrow(_anchors(window, n_buckets), _SENT)
     hits = sent.groupBy("bucket").applyInArrow(_probe, _ANSWER)
     longer = grouped.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_extensions(window, n_buckets), _SENT)
