@@ -216,6 +216,18 @@ def test_substrings_odd(odd):
     assert substring_dedup.dedup_substrings(empty(odd)).count() == 0
 
 
+def test_clashing_hashes_remove_nothing():
+    """Windows that agree in 64 bits and differ in the rest are different windows."""
+    import pyarrow as pa
+
+    entry = lambda *rows: np.array(list(rows), substring_dedup._ENTRY)
+    sent = pa.table({"bucket": [0, 0], "g": [1, 2], "blob": pa.array([entry((7, 2), (9, 4)).tobytes(), entry((7, 8), (9, 4)).tobytes()], pa.binary())})
+    back = substring_dedup._verify((pa.scalar(0),), sent)
+    assert [np.frombuffer(b, substring_dedup._ENTRY).tolist() for b in back.column("hits").to_pylist()] == [[(9, 4)], [(9, 4)]]
+    known = pa.table({"hits": pa.array([entry((7, 2), (7, 8), (9, 4)).tobytes()], pa.binary())})
+    assert substring_dedup._has_entry(entry((7, 2), (7, 4), (7, 8), (9, 4), (1, 2)), known).tolist() == [True, False, True, True, False]
+
+
 def test_simhash_odd(odd):
     out = simhash.near_duplicates(odd).collect()
     assert len(out) == odd.count() and simhash.near_duplicates(empty(odd)).count() == 0
@@ -277,6 +289,26 @@ def test_matches_by_brute_force(spark, block):
     found = decontaminate.match_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block, shard_chars=300)
     got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in found.collect()}
     assert got == {i: brute_hits(t, items) for i, t in docs}
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    by_name = {}
+    for i, t in items:
+        by_name.setdefault(str(i), []).append(word(t))
+    for r in found.collect():
+        mine = word(dict(docs)[r.doc_id])
+        for m in r.matches:
+            part = mine[m.start : m.start + m.length]
+            assert any(x[m.item_start : m.item_start + m.length] == part and (m.start == 0 or m.item_start == 0 or x[m.item_start - 1] != mine[m.start - 1]) for x in by_name[m.item])
+        assert len({j for m in r.matches for j in range(m.start, m.start + m.length)}) == r.n_hit
+
+
+def test_matches_of_runs_and_copies():
+    """A run of one word and many equal items: what is listed are the maximal matches, not all pairs."""
+    items = decontaminate.Items([(str(i), " ".join(["a"] * 1000)) for i in range(200)])
+    words = np.array([1] * 20_000 + [0])
+    at, which = decontaminate.shard_places(words, items)
+    assert len(at) == 20_000 - 12 and len(items.names) == 1 and len(items.names[0]) == 200
+    found = decontaminate.shard_matches(words, items, at, which)
+    assert len(found[0]) == (20_000 - 12) + (1000 - 12) - 1 and max(found[1]) == 1000
 
 
 def test_decontaminate_keeps_the_clean(spark, odd):
@@ -284,6 +316,8 @@ def test_decontaminate_keeps_the_clean(spark, odd):
     out = decontaminate.decontaminate(odd, items)
     assert sorted(str(i) for i, _ in texts(out)) == sorted(str(i) for i, _ in texts(odd) if i not in (4, 5, 6))
     assert out.columns == odd.columns and decontaminate.decontaminate(odd, items.limit(0)).count() == odd.count()
+    several = decontaminate.decontaminate(odd, items.union(spark.createDataFrame([(2, "q r s"), (None, None)], items.schema)), block_bytes=100)
+    assert several.columns == odd.columns and sorted(texts(several), key=str) == sorted(texts(out), key=str)
     assert decontaminate.match_items(empty(odd), items).count() == 0
 
 
