@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import hot_keys_join, read_table, ship, written
+from attestra.llm.common import beside, hot_keys_join, read_table, ship, text_key, written
 from attestra.llm.components import components
 
 ship(__name__)
@@ -136,7 +136,7 @@ def _linker(bits: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (bucket, fp), ordered by bucket, as links (a, b)."""
         refs = pivots()
-        held_b, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # of the bucket that is not complete yet
 
         def links(buckets: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if len(buckets) else np.zeros(0, np.int64)
@@ -156,14 +156,23 @@ def _linker(bits: int):
                 out_b.append(part[roots[moved]])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_a, out_b)], names=["a", "b"])
 
+        def told() -> pa.RecordBatch:
+            return links(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+
         for batch in batches:
-            held_b = np.concatenate([held_b, batch.column("bucket").to_numpy(zero_copy_only=False)])
-            held_f = np.concatenate([held_f, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
-            if len(held_b) and (cut := int(np.searchsorted(held_b, held_b[-1]))):
-                yield links(held_b[:cut], held_f[:cut])
-                held_b, held_f = held_b[cut:], held_f[cut:]
-        if len(held_b):
-            yield links(held_b, held_f)
+            b, f = batch.column("bucket").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(b):
+                continue
+            last = parts[-1][0][-1] if parts else b[0]
+            cut = int(np.searchsorted(b, b[-1]))  # what is before the batch's last bucket is complete
+            if b[-1] != last:
+                parts.append((b[:cut], f[:cut]))
+                yield told()
+                parts = [(b[cut:], f[cut:])]
+            else:
+                parts.append((b, f))
+        if parts:
+            yield told()
 
     return linked
 
@@ -188,14 +197,34 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     links, itself included."""
     marked = written(fingerprints(docs, shingle), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
-    roots = components(fingerprint_links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(distinct, bits)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("m"))
     n_fps = distinct.count()
     by_fp = hot_keys_join(rooted, lowest, ["root"], "m", n_fps).select("fp", "component_id", "n")
     return hot_keys_join(marked, by_fp, ["fp"], "n", marked.count()).select("doc_id", "fp", "component_id")
 
 
+def _rooted(distinct: DataFrame, bits: int) -> DataFrame:
+    """distinct (fp, ...) with the smallest fingerprint that each one reaches, as root."""
+    roots = components(fingerprint_links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of docs (doc_id, text, ...) for each component: that of the smallest doc_id, null last, then of the smallest
+    hash of its text. Rows that share an id are told apart by their texts; of equal rows one stays."""
+
+    def keep(docs: DataFrame) -> DataFrame:
+        key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text_key(F.col("text")).alias("text"))
+        marked = written(fingerprints(docs.select(key.alias("doc_id"), "text"), shingle), "fingerprints")
+        distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+        lowest = _rooted(distinct, bits).groupBy("root").agg(F.min("low").alias("__key")).select("__key")
+        # equal rows first fall together where they lie, so none of them makes a hot key
+        return docs.withColumn("__key", key).dropDuplicates(["__key"]).join(lowest.hint("merge"), "__key", "left_semi")
+
+    return beside(docs, ("doc_id", "text"), keep)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents."""
     out = near_duplicates(read_table(spark, sf_dir, "documents"))

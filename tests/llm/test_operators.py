@@ -235,6 +235,20 @@ def test_simhash_odd(odd):
     assert comp[5] == comp[4] == 4 and comp[1] == comp[2] == comp[3] == 1
 
 
+def test_one_of_each(spark, odd):
+    same, near = " ".join(W[:80]), " ".join(W[:79] + ["other"])
+    rows = [(9, same), (4, same), (4, same), (4, near), (4, " ".join(W[100:180])), (None, same), (None, " ".join(W[120:200])), (None, " ".join(W[120:200])), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__id": F.lit(1), "__key": F.lit(2), "fp": F.lit(3)})
+    out = simhash.one_of_each(df)
+    fps = {t: simhash.fingerprint(t) for _, t in rows}
+    kept = texts(out)
+    assert out.columns == df.columns and len(set(kept)) == len(kept) and set(kept) <= set(rows)
+    groups = {frozenset(b for b in fps if (fps[a] ^ fps[b]).bit_count() <= 3) for a in fps}
+    assert len(kept) == len(groups) == len({g for g in groups for _, t in kept if t in g})
+    assert (4, " ".join(W[100:180])) in kept and (None, " ".join(W[120:200])) in kept and (2, None) in kept
+    assert simhash.one_of_each(empty(odd)).count() == 0 and simhash.one_of_each(odd).columns == odd.columns
+
+
 @pytest.mark.parametrize("dense", [10**9, 10])
 def test_links_by_brute_force(spark, monkeypatch, dense):
     monkeypatch.setattr(simhash, "DENSE", dense)
