@@ -1,48 +1,38 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicates, decontamination, token ids.
 
-Every stage works on all that its predecessor kept, and its result is written to the shared folder and read again.
-Rows that share an id are one document to the stages that drop documents by id; a document without an id is only
-dropped by quality rules and by line dedup.
+Every stage works on all that its predecessor kept, and its result is written to the shared folder and read again; tables
+that are no longer needed are deleted. Rows that share an id are told apart by their texts: near-duplicates keep one row
+of each group, equal rows being one group; contaminated texts go wherever they stand. Other columns may have any names;
+the last stage replaces columns named like its results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import read_table, written
+from attestra.llm.common import beside, delete, read_table, settled
 from attestra.llm.decontaminate import decontaminate
 from attestra.llm.line_dedup import dedup_lines
 from attestra.llm.quality import judge
 from attestra.llm.sentencepiece_codec import model_bytes, round_trip
-from attestra.llm.simhash import near_duplicates
-
-
-def _beside(docs: DataFrame, operate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """operate on doc_id and text, with the other columns packed away so that no name clashes; docs' columns come
-    back in their order."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(*(rest or [F.lit(0).alias("none")])).alias("__rest"))
-    return operate(packed).select(*[F.col(c) if c in ("doc_id", "text") else F.col("__rest")[c].alias(c) for c in docs.columns])
+from attestra.llm.simhash import one_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return _beside(docs, lambda d: judge(d, read_table(spark, sf_dir, "labels")).where("kept"))
+    return beside(docs, ("doc_id", "text"), lambda d: judge(d, read_table(spark, sf_dir, "labels")).where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less repeated lines; one that has no word left by that goes. n_chars follows the text."""
-    out = _beside(docs, lambda d: dedup_lines(d).where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \t-\r]")))
+    out = beside(docs, ("doc_id", "text"), lambda d: dedup_lines(d).where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \t-\r]")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near-duplicates."""
-    others = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(others.hint("merge"), docs["doc_id"] == F.col("__id"), "left_anti")
+    """One document of each component of near-duplicates."""
+    return one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +42,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token_ids, n_tokens, and whether decoding gives the text back."""
-    out = round_trip(docs, model_bytes())
-    return out.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "restored")
+    tokens = lambda d: round_trip(d, model_bytes()).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return beside(docs, ("doc_id", "text"), tokens, ("token_ids", "n_tokens", "restored"))
 
 
 STAGES = [
@@ -69,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs, path = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        if last:
+            delete(spark, last)
+        last = path
     return docs
