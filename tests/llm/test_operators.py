@@ -3,13 +3,14 @@
 import functools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from attestra.llm import chat_format, decontaminate, line_dedup, pii, quality, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_count
+from attestra.llm import chat_format, common, decontaminate, line_dedup, pii, quality, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_count
 from attestra.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string"
@@ -176,6 +177,43 @@ def test_lines_odd(odd):
     assert out[9][0] == "secret = 'abcdef123'\n" and out[9][2] == 2999  # overlapping occurrences
 
 
+def test_line_dedup_with_ids_of_text(spark):
+    df = spark.createDataFrame([("b", "one\ntwo\nthree\nx"), ("a", "zero\none\ntwo\nthree"), (None, "one\ntwo\nthree")], "doc_id string, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(df.withColumns({"n_lines": F.lit("x"), "__pos": F.lit(1)})).collect()}
+    assert got == {"a": ("zero\none\ntwo\nthree", 4, 0), "b": ("x", 4, 3), None: ("", 3, 3)}
+
+
+def test_very_many_matches_in_a_text(spark):
+    """Time in proportion to the matches; a quadratic form takes minutes here."""
+    n = 200_000
+    df = spark.createDataFrame([(1, "token=abcdef12 " * n), (2, "10.1.1.1 " * 20_000)], "doc_id long, text string")
+    started = time.time()
+    assert {r.doc_id: r.n for r in secret_scan.scan(df).select("doc_id", F.size("spans").alias("n")).collect()} == {1: n, 2: 0}
+    assert pii.find(df, 64).select(F.size("base").alias("n")).where("n = 20000").count() == 1
+    found = pii.find(df.where("doc_id = 2"))
+    assert pii.sanitise(df.where("doc_id = 2"), found).select("text").first()[0] == "[IP] " * 20_000
+    assert time.time() - started < 60
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://there:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    own = common.shared_dir(Session)
+    assert own.startswith("file://") and own == common.shared_dir(Session)
+    made, path = common.settled(spark, lambda: common.written(spark.range(3).toDF("doc_id"), "first"), "second")
+    assert made.count() == 3
+    common.delete(spark, path)
+    assert not common._open
+
+
 def test_hot_lines(spark):
     shared = "alpha\nbeta\ngamma"
     df = spark.createDataFrame([(i, f"head {i}\n{shared}\ntail {i}") for i in range(500)], "doc_id long, text string")
@@ -507,6 +545,10 @@ def test_pipeline_stages_odd(spark, odd, tmp_path):
     spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "some other text")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, stage in corpus_pipeline.STAGES:
-        for docs in (odd, empty(odd)):
+        clash = {c: F.lit("clash") for c in ("token_ids", "n_tokens", "restored", "n_commits", "__id", "__key", "__pos", "__cut", "n_lines", "n_removed", "__rest", "root")}
+        for docs in (odd, empty(odd), odd.withColumns(clash)):
             out = stage(spark, docs, str(tmp_path))
-            assert out.columns[: len(docs.columns)] == docs.columns and out.count() <= docs.count(), name
+            ours = ["token_ids", "n_tokens", "restored"] if name == "sentencepiece" else []
+            assert out.columns == [c for c in docs.columns if c not in ours] + ours, name
+            out.write.parquet(str(tmp_path / f"{name}-{len(docs.columns)}-{docs is odd}"), mode="overwrite")
+            assert out.count() <= docs.count(), name

@@ -186,13 +186,87 @@ def test_sentencepiece(spark, sf_dir, docs):
         assert not docs[r.doc_id] or table == ids
 
 
-def test_pipeline(spark, sf_dir):
+def quality_verdicts(rows, labels):
+    """kept of each (doc_id, text)."""
+    good = set(labels[(labels.quality == 1) & (labels.toxic == 0)].doc_id)
+    n = quality.BUCKETS
+    raw, trusted = Counter(), Counter()
+    for i, t in rows:
+        g = grams(t, n)
+        raw.update(g)
+        if i in good:
+            trusted.update(g)
+    a, b = sum(raw.values()) + n, sum(trusted.values()) + n
+    weight = [round(1e6 * (math.log((trusted[k] + 1) / b) - math.log((raw[k] + 1) / a))) for k in range(n)]
+    out = []
+    for _, t in rows:
+        m, g = measures(t), grams(t, n)
+        out.append(m[0] >= 10 and 100 * m[4] <= 20 * m[0] and sum(weight[k] for k in g) // len(g) >= quality.THRESHOLD * 1e6)
+    return out
+
+
+def lines_left(rows):
+    """rows less the lines of later occurrences of three-line windows, without those that lose all words."""
+    places = {}
+    cut = {i: (t or "").split("\n") for i, t in rows}
+    for i in sorted(cut):
+        for k in range(len(cut[i]) - 2):
+            window = "\n".join(cut[i][k : k + 3])
+            if re.search(SPACE, window):
+                places.setdefault(window, []).append((i, k))
+    gone = {(i, k + d) for v in places.values() for i, k in v[1:] for d in range(3)}
+    out = []
+    for i, t in rows:
+        text = "\n".join(x for k, x in enumerate(cut[i]) if (i, k) not in gone)
+        if not any((i, k) in gone for k in range(len(cut[i]))):
+            out.append((i, t))
+        elif re.search(SPACE, text):
+            out.append((i, text))
+    return out
+
+
+def is_contaminated(text, windows):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hit = {j for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for j in range(i, i + n)}
+    return len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+def test_pipeline_by_brute_force(spark, sf_dir):
+    """The rows of every stage against a plain version of it on the stage's own input, and run() against the last."""
+    import sentencepiece
+
     import corpus_pipeline
+    from attestra.llm import sentencepiece_codec
 
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "line_dedup", "near_dedup", "benchmark_decontamination", "sentencepiece"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = corpus_pipeline.run(spark, sf_dir).toPandas()
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "benchmark_decontamination", "sentencepiece"]
-    assert list(out.columns) == [*docs.columns, "token_ids", "n_tokens", "restored"]
-    assert out.restored.all() and out.doc_id.is_unique and (out.n_chars == out.text.str.len()).all()
-    kept = QUERIES["op7_quality_rules"](spark, sf_dir).where("kept").toPandas().doc_id
-    assert 0.8 * len(kept) <= len(out) <= len(kept) and set(out.doc_id) <= set(kept)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len({i for i, _ in rows}) == len(rows)
+
+    def went(name, docs):
+        out = stages[name](spark, docs, sf_dir)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        return spark.createDataFrame(out.collect(), out.schema)
+
+    docs = went("quality_rules", docs)
+    verdicts = quality_verdicts([(i, t or "") for i, t in rows], pd.read_parquet(f"{sf_dir}/labels.parquet"))
+    rows = [x for x, kept in zip(rows, verdicts, strict=True) if kept]
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted(rows)
+    docs, rows = went("line_dedup", docs), lines_left(rows)
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in docs.collect()) == sorted((i, t, len(t)) for i, t in rows)
+    fps = {i: fingerprint(t) for i, t in rows}
+    low = component(sorted(fps), fps)
+    docs, rows = went("near_dedup", docs), [(i, t) for i, t in rows if low[i] == i]
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted(rows)
+    windows = set()
+    for t in pd.read_parquet(f"{sf_dir}/benchmark.parquet").text:
+        w = tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+        windows |= {w[i : i + 13] for i in range(max(1, len(w) - 12))} if w else set()
+    docs, rows = went("benchmark_decontamination", docs), [(i, t) for i, t in rows if not is_contaminated(t, windows)]
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted(rows)
+    lib = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_codec.model_bytes())
+    want = sorted((i, t, lib.encode(t)) for i, t in rows)
+    assert sorted((r.doc_id, r.text, list(r.token_ids)) for r in went("sentencepiece", docs).collect()) == want
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.text, list(r.token_ids)) for r in out) == want and all(r.restored and r.n_tokens == len(r.token_ids) for r in out)
