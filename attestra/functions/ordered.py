@@ -34,6 +34,12 @@ def _rank_value(df: DataFrame, c: str, k: int, low: float, high: float, below: i
     return low
 
 
+def ranked_value(df: DataFrame, c: str, k: int) -> float:
+    """The k-th smallest value (from 0) of a double column without nulls."""
+    low, high = df.agg(F.min(c), F.max(c)).first()
+    return _rank_value(df, c, k, float(low), float(high), 0)
+
+
 def quantiles(df: DataFrame, c: str, probs: list[float]) -> list[float]:
     """Exact quantiles with linear interpolation of a numeric column; nulls and NaN are left out, none left gives NaN."""
     x = df.select(F.col(c).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.functions.ordered import running_sums
+from attestra.functions.ordered import ranked_value, running_sums
 from attestra.operators.distance import smote
 
 
@@ -26,15 +26,18 @@ class ExaminerConfig:
 
 def stratified_split(df: DataFrame, test_size: float, seed: int, rare: str = "__rare", key: str = "__rid") -> tuple[DataFrame, DataFrame]:
     """(train, test): each class is cut at the quantile of a hash of its row ids, to the exact number of rows."""
-    tests = []
+    # the hash is a whole number below 2**53, so its order statistics are exact as doubles; ties go by key
+    hashed = df.withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double"))
+    picked = F.lit(False)
     for r in df.groupBy(rare).count().collect():
-        part = df.where(F.col(rare) == r[rare])
-        tests.append(part.select(key, F.xxhash64(F.lit(seed), F.col(key)).alias("__h")).orderBy("__h", key).limit(round(r["count"] * test_size)).select(key))
-    ids = tests[0]
-    for t in tests[1:]:
-        ids = ids.unionByName(t)
-    ids = ids.cache()
-    return df.join(ids, key, "left_anti"), df.join(ids, key, "left_semi")
+        k = round(r["count"] * test_size)
+        if k:
+            part = hashed.where(F.col(rare) == r[rare])
+            cut = ranked_value(part, "__h", k - 1)
+            below = part.where(F.col("__h") < cut).count()
+            last = [x[0] for x in part.where(F.col("__h") == cut).select(key).orderBy(key).limit(k - below).collect()]
+            picked = picked | ((F.col(rare) == r[rare]) & ((F.col("__h") < cut) | ((F.col("__h") == cut) & F.col(key).isin(last))))
+    return hashed.where(~picked).drop("__h"), hashed.where(picked).drop("__h")
 
 
 def score_counts(scored: DataFrame) -> DataFrame:
@@ -75,15 +78,15 @@ def _forest(train: DataFrame, trees: int, seed: int):
     return RandomForestClassifier(labelCol="y", weightCol="w", numTrees=trees, seed=seed).fit(_balanced(train))
 
 
-def measure_lift(df: DataFrame, columns: list[str], generate: Callable[[DataFrame], DataFrame], cfg: ExaminerConfig = ExaminerConfig(), seed: int = 42) -> dict:
+def measure_lift(df: DataFrame, columns: list[str], generate: Callable[[DataFrame], DataFrame], cfg: ExaminerConfig = ExaminerConfig(), seed: int = 42, coded: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict:
     """Recall of a balanced forest on real test rows with and without synthetic rare rows, which come from the train
-    part only."""
+    part only. coded makes numbers of real rows; generate() gets them as they are and gives numbers."""
     sample = df.where("not __rare").orderBy(F.xxhash64(F.lit(seed), "__rid"), "__rid").limit(cfg.max_normal).unionByName(df.where("__rare"))
     train, test = stratified_split(sample, cfg.test_size, seed)
     if test.where("__rare").count() < cfg.min_test_rare:
         return {"status": "insufficient_rare_rows"}
     made = generate(train).withColumn("__rare", F.lit(True))
-    base, real = _rows(train, columns), _rows(test, columns)
+    base, real = _rows(coded(train), columns), _rows(coded(test), columns)
     more = base.unionByName(_rows(made, columns))
     scores = [recall_precision(_forest(t, cfg.trees, seed).transform(real)).first() for t in (base, more)]
     return {"status": "ok", "baseline_recall": scores[0]["recall"], "augmented_recall": scores[1]["recall"], "lift": scores[1]["recall"] - scores[0]["recall"], "precision": scores[1]["precision"]}

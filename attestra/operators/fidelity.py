@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.ordered import running_sums
+from attestra.functions.ordered import row_numbers, running_sums
 from attestra.operators.distance import covered
 from attestra.operators.ingest import FieldMeta
 
@@ -35,8 +35,9 @@ def tvd_discrete(real: DataFrame, synth: DataFrame, c: str, most: int = 50) -> D
         return real.sparkSession.range(1).select(F.lit(1.0).alias("tvd"))
     if k > most:
         top = min(k, max(20, ns // 5))
-        kept = both.where("r > 0").orderBy(F.desc("r"), "v").limit(top).select("v", F.lit(True).alias("kept"))
-        both = both.join(kept, "v", "left").groupBy(F.when(F.col("kept"), F.col("v")).alias("v")).agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
+        # rows are numbered over range partitions, so no task gets all that are kept
+        ranked = row_numbers(both.withColumn("__down", -F.col("r")), ["__down", "v"], "__k")
+        both = ranked.groupBy(F.when((F.col("__k") < top) & (F.col("r") > 0), F.col("v")).alias("v")).agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
     return both.agg((0.5 * F.sum(F.abs(F.col("r") / nr - F.col("s") / ns))).alias("tvd"))
 
 
@@ -147,12 +148,15 @@ def column_statistics(real: DataFrame, synth: DataFrame, fields: list[FieldMeta]
     if others:
         both = counts(others, "string").cache()
         facts = {r["column"]: r for r in both.groupBy("column").agg(F.sum("r").alias("nr"), F.sum("s").alias("ns"), F.count_if(F.col("r") > 0).alias("k")).collect()}
-        rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("r"), "x"))
         top = F.lit(None).cast("long")
         for c, f in facts.items():
             keep = f["k"] if f["k"] <= most else min(f["k"], max(20, f["ns"] // 5))
             top = F.when(F.col("column") == c, F.lit(keep if f["k"] > most else None).cast("long")).otherwise(top)
-        bucketed = both.withColumn("top", top).withColumn("rank", rank).withColumn("v", F.when(F.col("top").isNull() | ((F.col("rank") <= F.col("top")) & (F.col("r") > 0)), F.col("x")))
+        # one numbering over all columns; a column's ranks count from its first row
+        ranked = row_numbers(both.withColumn("__down", -F.col("r")), ["column", "__down", "x"], "__k")
+        firsts = F.broadcast(ranked.groupBy("column").agg(F.min("__k").alias("__first")))
+        ranked = ranked.join(firsts, "column").withColumn("rank", F.col("__k") - F.col("__first") + 1)
+        bucketed = ranked.withColumn("top", top).withColumn("v", F.when(F.col("top").isNull() | ((F.col("rank") <= F.col("top")) & (F.col("r") > 0)), F.col("x")))
         rows = bucketed.groupBy("column", "v").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
         w = Window.partitionBy("column")
         told = rows.select("column", F.abs(F.try_divide("r", F.sum("r").over(w)) - F.try_divide("s", F.sum("s").over(w))).alias("d")).groupBy("column").agg((0.5 * F.sum("d")).alias("t"))

@@ -25,8 +25,8 @@ class IngestConfig:
     ambiguity: float = 0.05
 
 
-#: Column names that suggest a label.
-LABEL_NAMES = ("label", "target", "class", "y", "outcome", "is_fraud", "fraud", "default", "churn", "anomaly", "is_rare", "toxic")
+#: Column names that suggest a label, as the reference has them.
+LABEL_NAMES = ("label", "target", "y", "is_fraud", "fraud", "class")
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class RareEvent:
     value: object = None
     percentile: float = 0.05
     upper: bool = True
-    ratio: float = 0.35
+    ratio: float = 0.01
 
 
 @dataclass
@@ -105,15 +105,23 @@ def _by_column():
     return Window.partitionBy("column")
 
 
+def target_choice(df: DataFrame, cfg: IngestConfig = IngestConfig(), columns: list[str] | None = None) -> tuple[str | None, list]:
+    """The best label column, None where there is none or where the two best are within cfg.ambiguity of each other, and
+    the four best rows of target_scores()."""
+    best = target_scores(df, cfg, columns).orderBy(F.desc("score"), "column").limit(4).collect()
+    clear = len(best) == 1 or len(best) > 1 and best[0]["score"] - best[1]["score"] >= cfg.ambiguity
+    return (best[0]["column"] if clear else None), best
+
+
 def detect_target(df: DataFrame, cfg: IngestConfig = IngestConfig()) -> str:
     """The best label column. Two best within cfg.ambiguity of each other, or none at all, raise IngestError."""
-    best = target_scores(df, cfg).orderBy(F.desc("score"), "column").limit(4).collect()
+    found, best = target_choice(df, cfg)
     if not best:
         reasons = "; ".join(f"{r['column']}: {r['reason']}" for r in diagnose_targets(df, cfg).limit(8).collect())
         raise IngestError(f"no label column found ({reasons or 'no column of few values'}); name one")
-    if len(best) > 1 and best[0]["score"] - best[1]["score"] < cfg.ambiguity:
+    if found is None:
         raise IngestError("several columns could be the label: " + ", ".join(f"{r['column']} ({r['score']:.3f})" for r in best) + "; name one")
-    return best[0]["column"]
+    return found
 
 
 def diagnose_targets(df: DataFrame, cfg: IngestConfig = IngestConfig()) -> DataFrame:
@@ -157,7 +165,7 @@ def impute(df: DataFrame, label: str | None = None) -> DataFrame:
 
 
 def rare_predicate(df: DataFrame, rare: RareEvent) -> Column:
-    """The boolean column that rare describes, from aggregates over df."""
+    """The boolean column that a rare event of mode label or percentile describes, from aggregates over df."""
     c = F.col(rare.column)
     if rare.mode == "label":
         value = rare.value if rare.value is not None else minority_value(df, rare.column).first()["value"]
@@ -167,21 +175,25 @@ def rare_predicate(df: DataFrame, rare: RareEvent) -> Column:
             raise IngestError(f"{rare.column} is not numeric")
         cut = quantiles(df, rare.column, [1 - rare.percentile if rare.upper else rare.percentile])[0]
         return F.coalesce(c >= cut if rare.upper else c <= cut, F.lit(False))
-    if rare.mode == "imbalance":
-        counts = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        values = [r["v"] for r in counts.where(F.col("n") <= rare.ratio * total).limit(10_001).collect()]
-        if not values:
-            raise IngestError(f"no value of {rare.column} has a share of {rare.ratio} or less")
-        if len(values) > 10_000:
-            raise IngestError(f"{rare.column} has too many rare values for a class")
-        return F.coalesce(c.isin(values), F.lit(False))
     raise IngestError(f"unknown mode {rare.mode}")
 
 
+def with_rare(df: DataFrame, rare: RareEvent, name: str = "__rare") -> DataFrame:
+    """df with the boolean column that rare describes. The values of a small share are joined, however many they are."""
+    if rare.mode != "imbalance":
+        return df.withColumn(name, rare_predicate(df, rare))
+    counts = df.where(F.col(rare.column).isNotNull()).groupBy(F.col(rare.column).alias("__v")).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    values = counts.where(F.col("__n") <= rare.ratio * total).select("__v")
+    if values.limit(1).count() == 0:
+        raise IngestError(f"no value of {rare.column} has a share of {rare.ratio} or less")
+    joined = df.join(values, df[rare.column] == F.col("__v"), "left")
+    return joined.withColumn(name, F.col("__v").isNotNull()).drop("__v")
+
+
 def flag_rare(df: DataFrame, rare: RareEvent, cfg: IngestConfig = IngestConfig()) -> DataFrame:
     """df with __rare. Fewer than cfg.min_rare rare rows, or no others, raise IngestError."""
-    out = df.withColumn("__rare", rare_predicate(df, rare))
+    out = with_rare(df, rare)
     n, k = out.agg(F.count("*"), F.count_if("__rare")).first()
     if k < cfg.min_rare or k == n:
         raise IngestError(f"{k} rare rows of {n}; at least {cfg.min_rare} and one other are needed")
@@ -309,8 +321,7 @@ def preflight(df: DataFrame, label: str, rare: RareEvent | None = None) -> list[
         say("unsupported", "temporal", c)
     features = [c for c in df.columns if c not in (label, "__rid", *temporal)]
     facts = {r["column"]: r for r in profile_frame(df, features).collect()} if features else {}
-    mask = rare_predicate(df, rare or RareEvent(label))
-    n, k = df.agg(F.count("*"), F.count_if(mask)).first()
+    n, k = with_rare(df, rare or RareEvent(label)).agg(F.count("*"), F.count_if("__rare")).first()
     if k < 10:
         say("unsupported", "rare_rows")
     elif k < 14:

@@ -39,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--mode", choices=("label", "percentile", "imbalance"), default="percentile" if name in ("ingest", "run") else "label")
         s.add_argument("--value")
         s.add_argument("--percentile", type=float, default=0.05)
+        s.add_argument("--imbalance-ratio", type=float, default=0.01)
         s.add_argument("--lower", action="store_true")
         s.add_argument("--rows", type=int, default=300)
         s.add_argument("--seed", type=int, default=42)
@@ -95,7 +96,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if not a.label:
             print("--label names the column of the rare class", file=sys.stderr)
             return 2
-        rare = RareEvent(a.label, a.mode, None if a.value is None else scalar(a.value), a.percentile, not a.lower)
+        rare = RareEvent(a.label, a.mode, None if a.value is None else scalar(a.value), a.percentile, not a.lower, a.imbalance_ratio)
     try:
         if a.command == "ingest":
             d = generation.ingest_table(spark, a.file, a.label, rare)

@@ -22,7 +22,7 @@ def sources(real: DataFrame, spec: Estimand, n: int, seed: int, trees: int = sam
         "independent": sampling.independent_columns(rows, cols, n, seed),
         "noised": sampling.noised(rows, list(spec.predictors), n, seed),
         "copula": sampling.copula_baseline(rows, cols, n, seed, binary),
-        "smote": distance.smote(rows, cols, n, seed, most=2000),
+        "smote": distance.smote(rows, cols, n, seed),
         "grounded": sampling.grounded_batch(rows, list(spec.predictors), n, seed),
         "estimand_preserving": sampling.estimand_preserving(rows, spec.outcome, list(spec.predictors), n, seed, spec.family == "logit", trees),
     }

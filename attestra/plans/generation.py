@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from pathlib import Path
 
 import numpy as np
@@ -130,12 +130,15 @@ def one_pass(data: Ingested, n: int, seed: int, noise: float, private: bool, cov
 
 
 def measure(data: Ingested, n: int, seed: int, noise: float) -> dict:
-    coded = ingest.encode_categories(data.rows, {c: data.fields[c] for c in data.features})
+    """Lift of the generator that delivers, tail correction included, fitted on the train part only."""
 
     def generate(train: DataFrame) -> DataFrame:
-        return sampling.grounded_batch(train.where("__rare"), data.continuous, n, seed, noise)
+        part = replace(data, rows=train)
+        batch, _ = make_rare(part, n, seed, noise, False)
+        return ingest.encode_categories(batch, {c: data.fields[c] for c in data.features})
 
-    return ev.measure_lift(coded, data.features, generate, seed=seed)
+    coded = lambda df: ingest.encode_categories(df, {c: data.fields[c] for c in data.features})
+    return ev.measure_lift(data.rows, data.features, generate, seed=seed, coded=coded)
 
 
 def autotune(data: Ingested, n: int, seed: int, mode: str, coverage: float, noises: tuple[float, ...] = NOISES) -> tuple[float, list[dict]]:

@@ -6,6 +6,8 @@ import csv
 import hashlib
 import io
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+_own: list[str] = []
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the folder that spark.checkpoint.dir names: lineage ends there. A folder of our own only
+    where that is unset and driver and executors are one process. The table goes when the program ends."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset; on a cluster it must name a folder that driver and executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="attestra-"))
+        folder = f"file://{_own[0]}"
+    path = f"{folder.rstrip('/')}/attestra/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def sniff_delimiter(sample: str) -> str:
     """The delimiter of a CSV sample; where that can't be told, the commonest candidate of the header, else a comma."""
     try:

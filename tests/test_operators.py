@@ -56,6 +56,24 @@ def test_target_detection(spark):
     assert ingest.minority_value(df, "label").first()["value"] == 1
 
 
+def test_labels_are_ambiguous(spark):
+    """quality and toxic are too close to choose from; toxic is no name that suggests a label."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    with pytest.raises(IngestError, match="toxic.*quality"):
+        ingest.detect_target(labels)
+    scores = {r["column"]: r["score"] for r in ingest.target_scores(labels).collect()}
+    assert scores == pytest.approx({"toxic": 0.8174, "quality": 0.7923}, abs=1e-4)
+    assert ingest.LABEL_NAMES == ("label", "target", "y", "is_fraud", "fraud", "class")
+
+
+def test_imbalance_of_many_values(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("v"), "id")
+    out = ingest.flag_rare(df, RareEvent("v", "imbalance", ratio=0.01))
+    assert out.where("__rare").count() == 15_000 and out.count() == 30_000
+    with pytest.raises(IngestError, match="share"):
+        ingest.with_rare(df.where("v = -1"), RareEvent("v", "imbalance"))
+
+
 def test_impute_and_flags(spark):
     df = frame(spark, [(1.0, "a", 1), (None, "b", 0), (3.0, None, 0), (5.0, "b", None)], "x double, c string, y int")
     got = {r["y"]: r for r in ingest.impute(df.withColumn("y", F.col("y")), None).collect()}
