@@ -6,6 +6,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 from attestra.plans.server import App
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -30,13 +32,15 @@ def test_routes(spark):
     assert call("POST", f"/api/certify?run={run['id']}&outcome=x&predictors=z")[1]["status"] in ("certified", "not_preserved")
 
 
-def test_entry_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",), ("corpus_pipeline.py",), ("a package",)])
+def test_entry_without_the_subpackage(tmp_path, gone):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
-    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q), any(k.startswith('op') or k == 'pipeline' for k in q))"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
+    hide = "import sys; sys.modules['xxhash'] = None; " if gone == ("a package",) else ""
+    code = hide + "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q), 'op1_chat_formatting' in q, 'pipeline' in q)"
     env = {**os.environ, "PYTHONPATH": str(copy)}
     out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, check=True, timeout=120).stdout.split()
-    assert int(out[0]) >= 50 and out[1] == "False"
+    assert int(out[0]) >= 50 and out[1:] == [str(gone == ("corpus_pipeline.py",)), "False"]
 
 
 def test_library_does_not_import_the_subpackage():
