@@ -30,18 +30,17 @@ def _lines(text: Column) -> Column:
 def _windows(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) as (doc_id, key, pos, at, h1, h2), one row for each window; at orders the occurrences."""
 
-    def hashes(lines: Column) -> Column:
-        def window(i: Column) -> Column:
-            return let(F.concat_ws("\n", *[F.get(lines, i + k) for k in range(WINDOW)]), lambda w: F.when(w.rlike(WORD), F.struct(i.alias("pos"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(WINDOW), w).alias("h2"))))
-
-        return F.when(F.size(lines) >= WINDOW, F.array_compact(F.transform(F.sequence(F.lit(0), F.size(lines) - WINDOW), window)))
-
+    lines = docs.select("doc_id", text_key(F.col("text")).alias("key"), _lines(F.col("text")).alias("l"))
+    # plain columns from here on, which run as generated code; past the end there are nulls
+    after = [F.slice("l", F.lit(k + 1), F.size("l")).alias(f"l{k}") for k in range(1, WINDOW)]
+    placed = lines.where(F.size("l") >= WINDOW).select("doc_id", "key", F.posexplode(F.arrays_zip(F.col("l").alias("l0"), *after)).alias("pos", "w"))
+    whole = placed.where(F.col(f"w.l{WINDOW - 1}").isNotNull()).select("doc_id", "key", "pos", F.concat_ws("\n", *[F.col(f"w.l{k}") for k in range(WINDOW)]).alias("w"))
+    rows = whole.where(F.col("w").rlike(WORD)).select("doc_id", "key", "pos", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(WINDOW), "w").alias("h2"))
     if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):  # as a number, which a map-side sum keeps in place
-        at = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("w.pos")
+        at = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos")
     else:
-        at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "w.pos")
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.explode(let(_lines(F.col("text")), hashes)).alias("w"))
-    return rows.select("doc_id", "key", "w.pos", at.alias("at"), "w.h1", "w.h2")
+        at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos")
+    return rows.select("doc_id", "key", "pos", at.alias("at"), "h1", "h2")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
