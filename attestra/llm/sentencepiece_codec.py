@@ -26,6 +26,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ ship(__name__)
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of runs whose ids a worker remembers; beyond that it starts anew.
-HELD_CHARS = 6_000_000
+HELD_CHARS = 9_000_000
 _LEAST = -(10**18)
 
 
@@ -72,10 +73,7 @@ class Codec:
                 node = node.setdefault(c, [{}, None])[0]
             node.setdefault(pieces[i][-1], [{}, None])[1] = (i, s)
         self.pairs = {p[i : i + 2] for p in self.text.values() for i in range(len(p) - 1)}
-        # what a first cut finds: at space marks, where no piece crosses them, and at characters without a piece
-        letters = re.escape("".join(sorted({c for p in self.text.values() for c in p} - {MARK})))
-        inner = any(MARK in p.lstrip(MARK) for p in self.text.values())
-        self.parts = re.compile(f"[{letters}{MARK}]+|[^{letters}{MARK}]" if inner else f"{MARK}+[{letters}]*|[{letters}]+|[^{letters}{MARK}]") if letters else re.compile(r"[\s\S]+")
+        self.parts = self._first_cut()
         spoken = [b""] * n
         for i, p in self.text.items():
             spoken[i] = p.replace(MARK, " ").encode()
@@ -84,123 +82,177 @@ class Codec:
         if self.unknown >= 0:
             spoken[self.unknown] = " ⁇ ".encode()
         self.spoken = spoken
-        #: what has been committed for a part: its ids, four bytes each, and in how many commits
+        #: what has been committed for a run: its ids, four bytes each, and in how many commits
         self.known: dict[str, tuple[bytes, int]] = {}
         self.held_chars = 0
-        self.stays: dict[tuple[int, int], bool] = {}
+        self.stays: dict[int, dict[int, bool]] = {}
+
+    def _first_cut(self) -> re.Pattern:
+        """Cuts a text of space marks and other characters at boundaries that no piece crosses, as far as classes of
+        characters tell: at characters of no longer piece, before marks, and between a letter or digit and what is
+        neither. A part may have more such boundaries."""
+        bound = {c for p in self.pairs for c in p} - {MARK}
+        letters = {c for c in bound if c.isalnum()}
+        others = bound - letters
+        of = lambda chars: "".join(map(re.escape, sorted(chars)))
+        if any(p[1] == MARK for p in self.pairs if p[0] != MARK) or not letters or not others:
+            return re.compile(f"[{of(bound | {MARK})}]+|[\\s\\S]")
+        after = f"[{of(others)}]*[{of(letters)}]*"
+        if any(p[0] in letters and p[1] in others for p in self.pairs):
+            after = f"[{of(bound)}]*"
+        return re.compile(f"{MARK}+{after}|(?=[{of(bound)}]){after}|[\\s\\S]")
 
     def _stay(self, left: int, right: int) -> bool:
-        """Whether merging the text of two symbols leaves just these two. A symbol is an id, or ~code point of a
-        character without a piece."""
-        found = self.stays.get((left, right))
-        if found is None:
-            a, b = (self.text[x] if x >= 0 else chr(~x) for x in (left, right))
-            found = self.stays[left, right] = self._merged(a + b) == [a, b]
-        return found
-
-    def _merged(self, text: str) -> list[str]:
-        """What merging gives for the text of two symbols: earliest merge first, from the left."""
-        order, symbols = self.order, list(text)
+        """Whether merging the text of two symbols, earliest merge first and from the left, leaves just these two: whether
+        no merge goes across. A symbol is an id, or ~code point of a character without a piece."""
+        a, b = (self.text[x] if x >= 0 else chr(~x) for x in (left, right))
+        rank, symbols, edge = self.order.get, [*a, *b], len(a)
+        ranks = [rank(x + y, math.inf) for x, y in itertools.pairwise(symbols)]
         while True:
-            ranks = [order.get(a + b, math.inf) for a, b in itertools.pairwise(symbols)]
-            best = min(ranks, default=math.inf)
+            best = min(ranks)
             if best == math.inf:
-                return symbols
+                return True
             k = ranks.index(best)
-            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            if k == edge - 1:
+                return False
+            if k < edge:
+                edge -= 1
+            symbols[k : k + 2] = merged, = (symbols[k] + symbols[k + 1],)
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank(symbols[k - 1] + merged, math.inf)
+            if k < len(ranks):
+                ranks[k] = rank(merged + symbols[k + 1], math.inf)
 
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a text of space marks and letters, in the runs in which they are committed."""
-        trie, reach, pairs, stay, merges = self.trie, self.reach, self.pairs, self._stay, self.merges
+        trie, reach, pairs, merges, stays = self.trie, self.reach, self.pairs, self.merges, self.stays
+        block = 4 * reach
         buffer = iter(chars)
-        window: list[str] = []  # characters from place start on
-        score, back, piece = [0], [-1], [-1]  # of the boundaries start, start + 1, ...
-        first = True  # start has no piece before it that could merge with what follows
-        pos, ended = 0, False  # pos: how many places of the window have been extended
+        window = list(itertools.islice(buffer, block))  # characters; what lies before start is committed
+        n, ended = len(window), len(window) < block
+        back, piece = [-1] * (n + 1), [-1] * (n + 1)  # of the boundary before each character, and the last
+        score = [] if merges else [0] + [_LEAST] * n
+        start = pos = 0  # pos: places before it have been extended
+        free, last, before = True, -1, ""  # free: no piece before could merge with what follows
         while True:
-            while not ended and len(window) - pos < reach:
-                c = next(buffer, None)
-                if c is None:
-                    ended = True
-                else:
-                    window.append(c)
-                    score.append(_LEAST)
-                    back.append(-1)
-                    piece.append(-1)
-            if pos == len(window):
+            if n - pos < reach and not ended:
+                if start > 16 * reach:  # committed characters are forgotten
+                    window, piece, score = window[start:], piece[start:], score[start:]
+                    back = [b - start for b in back[start:]]
+                    pos, start = pos - start, 0
+                more = list(itertools.islice(buffer, block))
+                ended = len(more) < block
+                window += more
+                back += [-1] * len(more)
+                piece += [-1] * len(more)
+                if not merges:
+                    score += [_LEAST] * len(more)
+                n = len(window)
+            if pos == n:
                 break
-            if pos and window[pos - 1] + window[pos] not in pairs:  # no piece goes across: all ways meet here
-                yield self._ids(window, back, piece, pos)
-                window, score, back, piece = window[pos:], [0, *score[pos + 1 :]], [-1, *back[pos + 1 :]], [-1, *piece[pos + 1 :]]
-                pos, first = 0, True
-            here, last, node, j = score[pos], piece[pos], trie, pos
-            single = False
-            free = not merges or (first and not pos)
-            while j < len(window):
-                entry = node.get(window[j])
-                if entry is None:
-                    break
-                j += 1
-                node, found = entry
-                if found is not None:
-                    i, s = found
-                    single = single or j == pos + 1
-                    if merges:
-                        if back[j] < 0 and (free or stay(last, i)):
-                            back[j], piece[j] = pos, i
-                    elif here + s > score[j]:
-                        score[j], back[j], piece[j] = here + s, pos, i
-            if not single:
-                sign = ~ord(window[pos])
-                if merges:
-                    if back[pos + 1] < 0 and (free or stay(last, sign)):
+            c = window[pos]
+            if before:
+                last, free = piece[pos], False
+                if before + c not in pairs:  # no piece goes across: all ways meet here
+                    if pos > start:
+                        yield self._ids(window, back, piece, pos, start)
+                    start, free = pos, True
+            before = c
+            entry = trie.get(c)
+            if merges:
+                if not free:
+                    row = stays.get(last)
+                    if row is None:
+                        row = stays[last] = {}
+                if entry is None or entry[1] is None:
+                    sign = ~ord(c)
+                    if back[pos + 1] < 0 and (free or self._stay(last, sign)):
                         back[pos + 1], piece[pos + 1] = pos, sign
-                elif here + self.penalty > score[pos + 1]:
-                    score[pos + 1], back[pos + 1], piece[pos + 1] = here + self.penalty, pos, sign
+                j = pos
+                while entry is not None:
+                    j += 1
+                    node, found = entry
+                    if found is not None and back[j] < 0:
+                        i = found[0]
+                        if not free:
+                            fits = row.get(i)
+                            if fits is None:
+                                fits = row[i] = self._stay(last, i)
+                            if fits:
+                                back[j], piece[j] = pos, i
+                        else:
+                            back[j], piece[j] = pos, i
+                    if j == n:
+                        break
+                    entry = node.get(window[j])
+            else:
+                here = score[pos]
+                if (entry is None or entry[1] is None) and here + self.penalty > score[pos + 1]:
+                    score[pos + 1], back[pos + 1], piece[pos + 1] = here + self.penalty, pos, ~ord(c)
+                j = pos
+                while entry is not None:
+                    j += 1
+                    node, found = entry
+                    if found is not None and here + found[1] > score[j]:
+                        score[j], back[j], piece[j] = here + found[1], pos, found[0]
+                    if j == n:
+                        break
+                    entry = node.get(window[j])
             pos += 1
-            if pos >= 2 * reach and not pos % reach:
-                cut = self._meeting(back, pos)
-                if cut:
-                    yield self._ids(window, back, piece, cut)
-                    window, score, back, piece = window[cut:], [x - score[cut] if x > _LEAST else x for x in score[cut:]], [b - cut if b >= cut else -1 for b in back[cut:]], piece[cut:]
-                    pos, first = pos - cut, False
-        if window:
-            yield self._ids(window, back, piece, len(window))
-
-    def _meeting(self, back: list[int], pos: int) -> int:
+            if pos - start >= 2 * reach and not pos % reach:
+                cut = self._meeting(back, pos, start)
+                if cut > start:
+                    yield self._ids(window, back, piece, cut, start)
+                    start = cut
+        if n > start:
+            yield self._ids(window, back, piece, n, start)
+
+    def _meeting(self, back: list[int], pos: int, start: int) -> int:
         """The last boundary through which the ways back from all places that are still in reach go."""
-        fronts = {b for b in range(max(1, pos), min(len(back), pos + self.reach)) if back[b] >= 0} | {pos}
+        fronts = {b for b in range(pos, min(len(back), pos + self.reach)) if back[b] >= start} | {pos}
         while len(fronts) > 1:
             far = max(fronts)
+            if far <= start:
+                return start
             fronts.remove(far)
             fronts.add(back[far])
-            if 0 in fronts:
-                return 0
         return fronts.pop()
 
-    def _ids(self, window: list[str], back: list[int], piece: list[int], end: int) -> list[int]:
+    def _ids(self, window: list[str], back: list[int], piece: list[int], end: int, start: int) -> list[int]:
         out: list[int] = []
-        while end > 0:
-            start = back[end]
+        while end > start:
+            at = back[end]
             if piece[end] >= 0:
                 out.append(piece[end])
             elif self.bytes:
-                out += [self.bytes[b] for b in reversed(window[start].encode())]
+                out += [self.bytes[b] for b in reversed(window[at].encode())]
             else:
                 out.append(self.unknown)
-            end = start
-        return out[::-1]
+            end = at
+        out.reverse()
+        return out
 
     def _streamed(self, part: str) -> tuple[bytes, int]:
-        """What stream() commits for a part, which is then remembered."""
-        ids: list[int] = []
-        commits = 0
-        for run in self.stream(part):
-            ids += run
-            commits += 1
-        self.held_chars += len(part)
-        out = self.known[part] = np.array(ids, np.int32).tobytes(), commits
-        return out
+        """What stream() commits for a part. That, and what it commits between two boundaries that no piece crosses, is
+        remembered."""
+        known, pairs = self.known, self.pairs
+        ids, commits, start, n = [], 0, 0, len(part)
+        for i in range(1, n + 1):
+            if i == n or part[i - 1 : i + 1] not in pairs:
+                run = part[start:i]
+                found = known.get(run)
+                if found is None:
+                    runs = list(self.stream(run))
+                    self.held_chars += i - start
+                    found = known[run] = array("i", itertools.chain.from_iterable(runs)).tobytes(), len(runs)
+                ids.append(found[0])
+                commits += found[1]
+                start = i
+        if len(ids) > 1:
+            self.held_chars += n
+            known[part] = b"".join(ids), commits
+        return b"".join(ids), commits
 
     def encode_counted(self, text: str | None) -> tuple[bytes, int]:
         """encode() as little-endian numbers of four bytes, and in how many commits they came."""
@@ -213,7 +265,8 @@ class Codec:
             self.held_chars = 0
         streamed = self._streamed
         found = [known.get(p) or streamed(p) for p in self.parts.findall(MARK + text.replace(" ", MARK))]
-        return b"".join([x[0] for x in found]), sum([x[1] for x in found])
+        ids, commits = zip(*found, strict=True)
+        return b"".join(ids), sum(commits)
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_counted(text)[0], np.int32).tolist()

@@ -1,6 +1,7 @@
 """Operators on made-up tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import functools
+import math
 import random
 import re
 import time
@@ -449,7 +450,14 @@ def pieces_of(codec):
 
 @functools.cache
 def neighbours(codec, a, b):
-    return codec._merged(a + b) == [a, b]
+    """Whether merging a + b, the earliest merge first and from the left, gives a and b."""
+    symbols = list(a + b)
+    while True:
+        ranks = [codec.order.get(x + y, math.inf) for x, y in zip(symbols, symbols[1:], strict=False)]
+        if min(ranks, default=math.inf) == math.inf:
+            return symbols == [a, b]
+        k = ranks.index(min(ranks))
+        symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
 
 
 def full_viterbi(codec, text):
