@@ -215,7 +215,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> Da
     hash of its text. Rows that share an id are told apart by their texts; of equal rows one stays."""
 
     def keep(docs: DataFrame) -> DataFrame:
-        key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text_key(F.col("text")).alias("text"))
+        # one type on both sides of the join, or it deals the texts out anew
+        kind = f"struct<none:boolean,doc_id:{docs.schema['doc_id'].dataType.simpleString()},text:bigint>"
+        key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text_key(F.col("text")).alias("text")).cast(kind)
         marked = written(fingerprints(docs.select(key.alias("doc_id"), "text"), shingle), "fingerprints")
         distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
         lowest = _rooted(distinct, bits).groupBy("root").agg(F.min("low").alias("__key")).select("__key")
