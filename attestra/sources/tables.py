@@ -97,25 +97,32 @@ def persist_ingest(df: DataFrame, fields: list[dict], base: str) -> None:
     spark.createDataFrame([(json.dumps(f, default=str),) for f in fields], "value string").coalesce(1).write.mode("overwrite").text(f"{base}.fields.jsonl")
 
 
-def load_results(run_dir: str) -> dict:
-    """The campaign summary of a run, or what its batches show."""
-    d = Path(run_dir)
-    summary = d / "campaign_summary.json"
-    if summary.exists():
-        return json.loads(summary.read_text())
-    batches = sorted(d.glob("pass_*_accepted.parquet"), key=_pass_number)
+def _found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match pattern, in whatever store Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [x.getPath().toString() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []]
+
+
+def load_results(run_dir: str, spark: SparkSession | None = None) -> dict:
+    """The campaign summary of a run, or what its batches show. Listed and read through Spark, so runs may lie in any
+    store."""
+    spark = spark or SparkSession.builder.getOrCreate()
+    summary = _found(spark, f"{run_dir}/campaign_summary.json")
+    if summary:
+        return json.loads(spark.read.text(summary[0], wholetext=True).first()[0])
+    batches = sorted(_found(spark, f"{run_dir}/pass_*_accepted.parquet"), key=_pass_number)
     if not batches:
         raise FileNotFoundError(f"no results in {run_dir}")
-    return {"passes": [{"pass": _pass_number(b), "path": str(b)} for b in batches], "best_batch_path": str(batches[-1])}
+    return {"passes": [{"pass": _pass_number(b), "path": b} for b in batches], "best_batch_path": batches[-1]}
 
 
-def _pass_number(p: Path) -> int:
-    return int(p.name.split("_")[1])
+def _pass_number(path: str) -> int:
+    return int(path.rsplit("/", 1)[-1].split("_")[1])
 
 
 def load_synthetic(spark: SparkSession, run_dir: str) -> DataFrame:
     """The best batch of a run, else the one of the highest pass number."""
-    found = load_results(run_dir)
+    found = load_results(run_dir, spark)
     path = found.get("best_batch_path") or found["passes"][-1]["path"]
     return spark.read.parquet(path)
 

@@ -280,6 +280,17 @@ def test_sources(spark, tmp_path):
     assert tables.canonical_hash(df) == tables.canonical_hash(df.repartition(3)) != tables.canonical_hash(spark.range(11))
 
 
+def test_results_of_a_run(spark, tmp_path):
+    for n in (2, 10, 1):
+        tables.write_batch(spark.range(n).toDF("x"), str(tmp_path / f"pass_{n}_accepted.parquet"))
+    assert [p["pass"] for p in tables.load_results(str(tmp_path))["passes"]] == [1, 2, 10]
+    assert tables.load_synthetic(spark, str(tmp_path)).count() == 10
+    (tmp_path / "campaign_summary.json").write_text(json.dumps({"best_batch_path": str(tmp_path / "pass_2_accepted.parquet"), "passes": []}))
+    assert tables.load_synthetic(spark, str(tmp_path)).count() == 2
+    with pytest.raises(FileNotFoundError):
+        tables.load_results(str(tmp_path / "none"))
+
+
 def test_generate_verify_tamper(spark, tmp_path):
     df = tables.fraud_sample(spark, 800, 0.05)
     r = generation.generate(spark, df, auto=False, n_rows=60, private="none", out_dir=str(tmp_path / "g"), estimand=Estimand("amount", ("hour",)))
