@@ -142,20 +142,22 @@ def _handed(handed, names: list[str], k: int, keyed: bool):
     return look
 
 
-def neighbours(points: DataFrame, refs: DataFrame, names: list[str], k: int, keyed: bool = False) -> DataFrame:
+def neighbours(points: DataFrame, refs: DataFrame, names: list[str], k: int, keyed: bool = False, distinct: bool = False) -> DataFrame:
     """points (names, and with keyed __own) with dist and ids, arrays of the k nearest rows of refs (names, __ref), nearest
     first, ties to the smaller __ref; inf and -1 where there are fewer. With keyed a row whose __ref is __own is left out.
-    Points should be distinct; of references that coincide only the first k + 1 count."""
-    over = Window.partitionBy(*names).orderBy("__ref")
-    refs = refs.select(*names, F.col("__ref").cast("long").alias("__ref")).withColumn("__n", F.row_number().over(over)).where(F.col("__n") <= k + 1).drop("__n")
-    n = refs.count()
+    Points should be distinct; of references that coincide only the first k + 1 count, with distinct there are none."""
+    refs = refs.select(*names, F.col("__ref").cast("long").alias("__ref"))
+    if not distinct:
+        over = Window.partitionBy(*names).orderBy("__ref")
+        refs = refs.withColumn("__n", F.row_number().over(over)).where(F.col("__n") <= k + 1).drop("__n")
+    few = refs.limit(FEW_ROWS + 1).collect()
     told = ", ".join([*[f"`{c}` {points.schema[c].dataType.simpleString()}" for c in points.columns], "dist array<double>", "ids array<bigint>"])
-    if n <= FEW_ROWS:
-        rows = refs.orderBy("__ref").collect()
+    if len(few) <= FEW_ROWS:
+        rows = sorted(few, key=lambda r: r["__ref"])
         y = np.array([[r[c] for c in names] for r in rows], dtype=float).reshape(len(rows), len(names))
         handed = points.sparkSession.sparkContext.broadcast((y, np.array([r["__ref"] for r in rows], np.int64)))
         return points.mapInPandas(_handed(handed, names, k, keyed), told)
-    leaves = min(MOST_LEAVES, math.ceil(n / LEAF_ROWS))
+    leaves = min(MOST_LEAVES, math.ceil(refs.count() / LEAF_ROWS))
     sample = refs.orderBy(F.xxhash64("__ref", *names), "__ref").select(*names).limit(32 * leaves).collect()
     cuts = Tree.cuts(np.array([tuple(r) for r in sample], dtype=float), leaves)
     plain = lambda df: ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns], "leaf bigint"])
@@ -193,7 +195,7 @@ def nearest(queries: DataFrame, refs: DataFrame, columns: list[str], scale: list
     names = [f"__x{i}" for i in range(len(columns))]
     asked = queries.select("*", *_scaled(columns, scale))
     points = refs.select(*_scaled(columns, scale)).distinct().withColumn("__ref", F.lit(0))
-    found = neighbours(asked.select(*names).distinct(), points, names, 1).select(*names, F.get("dist", F.lit(0)).alias("distance"))
+    found = neighbours(asked.select(*names).distinct(), points, names, 1, distinct=True).select(*names, F.get("dist", F.lit(0)).alias("distance"))
     return asked.join(found, names, "left").withColumn("distance", F.coalesce("distance", F.lit(math.inf))).select(*queries.columns, "distance")
 
 

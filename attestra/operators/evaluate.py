@@ -28,15 +28,16 @@ def stratified_split(df: DataFrame, test_size: float, seed: int, rare: str = "__
     """(train, test): each class is cut at the quantile of a hash of its row ids, to the exact number of rows."""
     # the hash is a whole number below 2**53, so its order statistics are exact as doubles; ties go by key
     hashed = df.withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double"))
-    picked = F.lit(False)
-    for r in df.groupBy(rare).count().collect():
+    picked, narrow = F.lit(False), hashed.select(rare, key, "__h").cache()
+    for r in narrow.groupBy(rare).count().collect():
         k = round(r["count"] * test_size)
         if k:
-            part = hashed.where(F.col(rare) == r[rare])
+            part = narrow.where(F.col(rare) == r[rare])
             cut = ranked_value(part, "__h", k - 1)
             below = part.where(F.col("__h") < cut).count()
             last = [x[0] for x in part.where(F.col("__h") == cut).select(key).orderBy(key).limit(k - below).collect()]
             picked = picked | ((F.col(rare) == r[rare]) & ((F.col("__h") < cut) | ((F.col("__h") == cut) & F.col(key).isin(last))))
+    narrow.unpersist()
     return hashed.where(~picked).drop("__h"), hashed.where(picked).drop("__h")
 
 
@@ -81,14 +82,20 @@ def _forest(train: DataFrame, trees: int, seed: int):
 def measure_lift(df: DataFrame, columns: list[str], generate: Callable[[DataFrame], DataFrame], cfg: ExaminerConfig = ExaminerConfig(), seed: int = 42, coded: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict:
     """Recall of a balanced forest on real test rows with and without synthetic rare rows, which come from the train
     part only. coded makes numbers of real rows; generate() gets them as they are and gives numbers."""
-    sample = df.where("not __rare").orderBy(F.xxhash64(F.lit(seed), "__rid"), "__rid").limit(cfg.max_normal).unionByName(df.where("__rare"))
+    sample = df.where("not __rare").orderBy(F.xxhash64(F.lit(seed), "__rid"), "__rid").limit(cfg.max_normal).unionByName(df.where("__rare")).cache()
     train, test = stratified_split(sample, cfg.test_size, seed)
-    if test.where("__rare").count() < cfg.min_test_rare:
-        return {"status": "insufficient_rare_rows"}
-    made = generate(train).withColumn("__rare", F.lit(True))
-    base, real = _rows(coded(train), columns), _rows(coded(test), columns)
-    more = base.unionByName(_rows(made, columns))
-    scores = [recall_precision(_forest(t, cfg.trees, seed).transform(real)).first() for t in (base, more)]
+    held = [sample]
+    try:
+        if test.where("__rare").count() < cfg.min_test_rare:
+            return {"status": "insufficient_rare_rows"}
+        # forests read their rows several times
+        base, real = _rows(coded(train), columns).cache(), _rows(coded(test), columns).cache()
+        made = _rows(generate(train).withColumn("__rare", F.lit(True)), columns).cache()
+        held += [base, real, made]
+        scores = [recall_precision(_forest(t, cfg.trees, seed).transform(real)).first() for t in (base, base.unionByName(made))]
+    finally:
+        for x in held:
+            x.unpersist()
     return {"status": "ok", "baseline_recall": scores[0]["recall"], "augmented_recall": scores[1]["recall"], "lift": scores[1]["recall"] - scores[0]["recall"], "precision": scores[1]["precision"]}
 
 

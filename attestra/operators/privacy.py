@@ -142,7 +142,7 @@ def _floor_by_rounds(rows: DataFrame, refs: DataFrame, columns: list[str], box:
     def looked(df: DataFrame) -> DataFrame:
         """df with __d and the nearest real row."""
         asked = df.select("*", *_scaled(columns, box.scale.tolist()))
-        found = neighbours(asked.select(*names).distinct(), numbered, names, 1).select(*names, F.get("dist", F.lit(0)).alias("__d"), F.get("ids", F.lit(0)).alias("__at"))
+        found = neighbours(asked.select(*names).distinct(), numbered, names, 1, distinct=True).select(*names, F.get("dist", F.lit(0)).alias("__d"), F.get("ids", F.lit(0)).alias("__at"))
         return asked.join(found, names).join(at, "__at").drop("__at", *names)
 
     state = rows.withColumns({"__projected": F.lit(False), "__respawned": F.lit(False)})
@@ -225,9 +225,10 @@ def floor_delivered(batch: DataFrame, real: DataFrame, fields: dict[str, FieldMe
     whole = [c for c in columns if fields[c].is_integer]
     wide = delta + math.sqrt(sum((0.5 / scale[c]) ** 2 for c in whole))
     moved, report = enforce_distance_floor(batch.where("part = 'rare'"), real, columns, wide, seed)
-    moved = moved.withColumns({c: F.rint(c) for c in whole}) if whole else moved
-    q = nearest_quantiles(moved, real, columns).first()
-    report.delta, report.low, report.p10, report.p50, report.p90 = delta, q["low"], q["p10"], q["p50"], q["p90"]
-    report.passed = report.low >= delta - SLACK
+    if whole:
+        moved = moved.withColumns({c: F.rint(c) for c in whole})
+        q = nearest_quantiles(moved, real, columns).first()
+        report.low, report.p10, report.p50, report.p90 = q["low"], q["p10"], q["p50"], q["p90"]
+    report.delta, report.passed = delta, report.low >= delta - SLACK
     rest = batch.where("part <> 'rare'").withColumns({c: F.col(c).cast("double") for c in columns})
     return rest.unionByName(moved.select(rest.columns)), report
