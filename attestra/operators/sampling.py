@@ -212,20 +212,44 @@ def copula_baseline(df: DataFrame, columns: list[str], n: int, seed: int, binary
     return made.withColumns({c: (F.col(c) >= 0.5).cast("double") for c in binary}) if binary else made
 
 
+#: A partition of a fit takes so many cells.
+_PART = 50_000
+
+
+def _cells(df: DataFrame, outcome: str, predictors: list[str], apart: bool = False) -> DataFrame:
+    """The distinct predictors x0, x1, ... of df, cached: w rows hold them, with a mean outcome y and a sum rest of squares
+    about it. apart: of each outcome. Squared loss and mixtures weigh a cell as they weigh its rows, so a fit over cells is a
+    fit over all rows; only a mixture's start draws from cells. Incomplete rows are left out, as in the reference."""
+    rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(predictors)], F.col(outcome).cast("double").alias("label")).dropna()
+    by = [*[f"x{i}" for i in range(len(predictors))], *(["label"] if apart else [])]
+    grouped = rows.groupBy(*by).agg(F.count("*").cast("double").alias("w"), F.avg("label").alias("y"), (F.var_pop("label") * F.count("*")).alias("rest")).cache()
+    cells = grouped.coalesce(max(1, math.ceil(grouped.count() / _PART))).sortWithinPartitions(*by).cache()
+    cells.count()
+    grouped.unpersist()
+    return cells
+
+
+def _residual_sd(told: DataFrame) -> float:
+    """The deviation of all rows' outcomes from what a model told of their cells."""
+    gap = F.col("y") - F.col("prediction")
+    n, mean = told.agg(F.sum("w"), F.sum(F.col("w") * gap) / F.sum("w")).first()
+    return math.sqrt(told.agg(F.sum(F.col("rest") + F.col("w") * (gap - F.lit(mean)) ** 2)).first()[0] / n) if n else 0.0
+
+
 def conditional_outcome(df: DataFrame, x: DataFrame, outcome: str, predictors: list[str], seed: int, key: str = "draw", trees: int = ROUNDS, depth: int = 3) -> DataFrame:
     """x (key, predictors, from real rows or any sampler) with an outcome: what boosted trees on df say of it, with noise of
     the residual deviation."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    assembler = VectorAssembler(inputCols=predictors, outputCol="features")
+    cells = _cells(df, outcome, predictors)
+    train = VectorAssembler(inputCols=[f"x{i}" for i in range(len(predictors))], outputCol="features").transform(cells)
+    model = GBTRegressor(labelCol="y", weightCol="w", featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
+    resid = _residual_sd(model.transform(train))
+    cells.unpersist()
     typed = [F.col(c).cast("double").alias(c) for c in predictors]
-    train = assembler.transform(df.select(*typed, F.col(outcome).cast("double").alias("y"))).cache()
-    model = GBTRegressor(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
-    resid = model.transform(train).agg(F.stddev_pop(F.col("y") - F.col("prediction"))).first()[0] or 0.0
-    train.unpersist()
-    told = model.transform(assembler.transform(x.select(key, *typed)))
-    return told.select(key, *predictors, (F.col("prediction") + float(resid) * rnd.normal(seed, "outcome", key)).alias(outcome))
+    told = model.transform(VectorAssembler(inputCols=predictors, outputCol="features").transform(x.select(key, *typed)))
+    return told.select(key, *predictors, (F.col("prediction") + F.lit(resid) * rnd.normal(seed, "outcome", key)).alias(outcome))
 
 
 # -- constraints ------------------------------------------------------------------------------------------------------
@@ -264,16 +288,18 @@ def estimand_preserving(df: DataFrame, outcome: str, predictors: list[str], n: i
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import GBTRegressor
 
-    stats = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(predictors) for k, f in (("m", F.avg), ("s", F.stddev_pop))], F.count("*").alias("n")).first()
-    mean = [stats[f"m{i}"] for i in range(len(predictors))]
-    sd = [stats[f"s{i}"] or 1.0 for i in range(len(predictors))]
-    z = df.select(F.col(outcome).cast("double").alias("y"), *[((F.col(c).cast("double") - F.lit(m)) / F.lit(s)).alias(f"z{i}") for i, (c, m, s) in enumerate(zip(predictors, mean, sd, strict=True))])
+    cells = _cells(df, outcome, predictors, apart=binary)
+    total = cells.agg(F.sum("w").alias("n"), *[(F.sum(F.col("w") * F.col(f"x{i}")) / F.sum("w")).alias(f"m{i}") for i in range(len(predictors))]).first()
+    mean = [total[f"m{i}"] for i in range(len(predictors))]
+    spread = cells.agg(*[F.sqrt(F.sum(F.col("w") * (F.col(f"x{i}") - F.lit(m)) ** 2) / F.sum("w")) for i, m in enumerate(mean)]).first()
+    sd = [s or 1.0 for s in spread]
+    z = cells.select("w", "y", "rest", *[((F.col(f"x{i}") - F.lit(m)) / F.lit(s)).alias(f"z{i}") for i, (m, s) in enumerate(zip(mean, sd, strict=True))])
     assembler = VectorAssembler(inputCols=[f"z{i}" for i in range(len(predictors))], outputCol="features")
     x = assembler.transform(z).cache()
-    mixture = GaussianMixture(k=max(1, min(20, stats["n"] // 50)), seed=seed, featuresCol="features").fit(x)
+    mixture = GaussianMixture(k=max(1, min(20, int(total["n"]) // 50)), seed=seed, featuresCol="features", weightCol="w").fit(x)
     parts = [(w, np.array(r["mean"]), np.linalg.cholesky(np.array(r["cov"].toArray()) + 1e-6 * np.eye(len(predictors)))) for w, r in zip(mixture.weights, mixture.gaussiansDF.collect(), strict=True)]
     learner = GBTClassifier if binary else GBTRegressor
-    model = learner(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed).fit(x)
+    model = learner(labelCol="y", weightCol="w", featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed).fit(x)
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), rnd.uniform(seed, "part", "id").alias("__u"), *[rnd.normal(seed, f"mix/{j}", "id").alias(f"e{j}") for j in range(len(predictors))])
     bounds = np.cumsum([w for w, _, _ in parts])
     cols = []
@@ -288,7 +314,7 @@ def estimand_preserving(df: DataFrame, outcome: str, predictors: list[str], n: i
         chance = vector_to_array("probability")[1]
         y = (rnd.uniform(seed, "outcome", "draw") < chance).cast("double")
     else:
-        resid = model.transform(x).agg(F.stddev_pop(F.col("y") - F.col("prediction"))).first()[0] or 0.0
-        y = F.col("prediction") + float(resid) * rnd.normal(seed, "outcome", "draw")
+        y = F.col("prediction") + F.lit(_residual_sd(model.transform(x))) * rnd.normal(seed, "outcome", "draw")
     x.unpersist()
+    cells.unpersist()
     return told.select("draw", y.alias(outcome), *[(F.col(f"z{i}") * F.lit(s) + F.lit(m)).alias(c) for i, (c, m, s) in enumerate(zip(predictors, mean, sd, strict=True))])

@@ -137,3 +137,41 @@ def test_estimand_preserving_keeps_the_line(spark):
     made = sampling.estimand_preserving(df, "y", ["a", "b"], 2000, 3, binary=False, trees=40).toPandas()
     beta = np.linalg.lstsq(np.column_stack([np.ones(2000), made[["a", "b"]]]), made.y, rcond=None)[0]
     assert beta == pytest.approx([1, 2, -1], abs=0.2) and distance.scales(spark.createDataFrame(made), ["a", "b"]) == pytest.approx([1, 1], abs=0.15)
+
+
+def test_fits_over_cells_are_fits_over_rows(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(9)
+    rows = pd.DataFrame({"a": rng.integers(0, 6, 3000).astype(float), "b": rng.integers(0, 4, 3000).astype(float)})
+    rows["y"] = rows.a * rows.b + rng.normal(size=3000)
+    df = spark.createDataFrame(rows)
+    plain = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    model = GBTRegressor(labelCol="y", maxIter=8, maxDepth=3, seed=SEED).fit(plain)
+    told = model.transform(plain).toPandas()
+    want = told.groupby(["a", "b"]).prediction.first()
+    fitted, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, data: fitted.append(data.count()) or fit(self, data))
+    holed = df.unionByName(spark.createDataFrame([(None, 1.0, 5.0), (1.0, float("nan"), 5.0), (1.0, 1.0, None)], df.schema))
+    x = df.select("a", "b").distinct().selectExpr("cast(a * 4 + b as long) as draw", "a", "b")
+    got = sampling.conditional_outcome(holed, x, "y", ["a", "b"], SEED, trees=8).toPandas()
+    noise = np.array([normal("outcome", int(i)) for i in got.draw])
+    sd = np.std(told.y - told.prediction)
+    assert fitted == [24] and np.allclose(got.y, [want[a, b] + sd * e for a, b, e in zip(got.a, got.b, noise, strict=True)], atol=1e-5)
+
+
+def test_estimand_preserving_fits_cells(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.clustering import GaussianMixture
+
+    fitted = []
+    for learner in (GaussianMixture, GBTClassifier):
+        monkeypatch.setattr(learner, "fit", lambda self, data, fit=learner.fit: fitted.append((data.count(), data.agg({"w": "sum"}).first()[0])) or fit(self, data))
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 12, 2400).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"y": (rng.uniform(size=2400) < (a + 1) / 14).astype(float), "a": a, "b": rng.integers(0, 12, 2400).astype(float)}))
+    made = sampling.estimand_preserving(df, "y", ["a", "b"], 1500, 3, binary=True, trees=8).toPandas()
+    cells = df.distinct().count()
+    assert fitted == [(cells, 2400.0)] * 2 and cells < 300
+    assert made.a.mean() == pytest.approx(a.mean(), abs=0.5) and np.polyfit(made.a, made.y, 1)[0] == pytest.approx(1 / 14, abs=0.015)
