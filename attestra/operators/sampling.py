@@ -212,8 +212,8 @@ def copula_baseline(df: DataFrame, columns: list[str], n: int, seed: int, binary
     return made.withColumns({c: (F.col(c) >= 0.5).cast("double") for c in binary}) if binary else made
 
 
-#: A partition of a fit takes so many cells.
-_PART = 50_000
+#: A partition of a fit takes so many cells, or more where that would make more partitions than a shuffle has.
+_PART = 10_000
 
 
 def _cells(df: DataFrame, outcome: str, predictors: list[str], apart: bool = False) -> DataFrame:
@@ -223,7 +223,8 @@ def _cells(df: DataFrame, outcome: str, predictors: list[str], apart: bool = Fal
     rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(predictors)], F.col(outcome).cast("double").alias("label")).dropna()
     by = [*[f"x{i}" for i in range(len(predictors))], *(["label"] if apart else [])]
     grouped = rows.groupBy(*by).agg(F.count("*").cast("double").alias("w"), F.avg("label").alias("y"), (F.var_pop("label") * F.count("*")).alias("rest")).cache()
-    cells = grouped.coalesce(max(1, math.ceil(grouped.count() / _PART))).sortWithinPartitions(*by).cache()
+    parts = min(math.ceil(grouped.count() / _PART), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = (grouped.repartition(parts, *by) if parts > 1 else grouped.coalesce(1)).sortWithinPartitions(*by).cache()
     cells.count()
     grouped.unpersist()
     return cells
