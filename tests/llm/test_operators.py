@@ -138,6 +138,16 @@ def test_disclosing_terms_far_from_the_mention(spark):
     assert clean[0] == f"[TERM] {far}[EMAIL] {far}[TERM] 0"
 
 
+def test_disclosing_terms_in_any_case(spark):
+    pairs = [("ΝΙΚΟΣ.Β", "νικοσ.β", ["νικοσ", "β"]), ("Σ.ΝΙΚΟΣ Β", "σ.ΝΙΚΟΣ.β", ["σ", "νικοσ", "β"]), ("ΝΙΚΟΣ", "νικος", []), ("İda", "ida", ["ida"])]
+    for one, other, terms in pairs:
+        rows = [(1, f"ann@ex.org {one}"), (2, f"ann@ex.org {other}")] + [(100 + i, f"plain words {i}") for i in range(30)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for context in (None, 64):
+            found = {r.doc_id: [t.term for t in r.terms] for r in pii.find(df, context).collect()}
+            assert found[1] == found[2] == terms, (one, other, context)
+
+
 def test_secrets_odd(odd):
     out = {r.doc_id: r.spans for r in secret_scan.scan(odd).collect()}
     assert len(out[9]) == 3000 and out[1] == [] and secret_scan.scan(odd).count() == odd.count() and secret_scan.scan(empty(odd)).count() == 0
