@@ -1,10 +1,11 @@
 """Operator 3, SentencePiece encoding and decoding: streaming Viterbi over the pieces of a .model file.
 
-The segmentation is built from left to right over a lattice whose arcs are pieces. Only a window is kept: for each place
-in it the surviving way back. When the ways back of all places from which a piece can still go on meet in one boundary,
-whatever follows keeps what lies before it, so its ids are committed and forgotten. Between two characters that stand
-side by side in no piece all ways meet by construction; what lies between two such boundaries is a run, and a worker
-remembers what it has committed for a run. Every run that it does not know goes through the window.
+The segmentation is built from left to right over a lattice whose arcs are pieces. An automaton, built as texts need it,
+names the arcs that end at a place, longest first. Only a window is kept: for each place in it the surviving way back.
+When the ways back of all places from which a piece can still go on meet in one boundary, whatever follows keeps what
+lies before it, so its ids are committed and forgotten. Between two characters that stand side by side in no piece all
+ways meet by construction; what lies between two such boundaries is a run, and a worker remembers what it has committed
+for a run. Every run that it does not know goes through the window.
 
 Weights: a unigram model's arcs weigh its own scores, in whole millionths, ties going to the longer last piece. A model
 of merges holds no scores but an order of merges. There an arc may follow another only if merging the text of both
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import operator
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -44,7 +46,22 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of runs whose ids a worker remembers; beyond that it starts anew.
 HELD_CHARS = 6_000_000
-_LEAST = -(10**18)
+#: Steps between states, and pairs of symbols, that it remembers; beyond that it starts anew.
+HELD_STEPS = 1_000_000
+_FIRST = 2**31
+_FREE = None  # the symbol before a boundary that no piece crosses
+
+
+class _Memory(dict):
+    """What make(key) gave, by key."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        out = self[key] = self.make(key)
+        return out
 
 
 class Codec:
@@ -59,6 +76,7 @@ class Codec:
         self.merges = all(float(s).is_integer() for s in own)
         self.bytes = {int(pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.text = {i: pieces[i] for i in plain}
+        self.size = {i: len(p) for i, p in self.text.items()}
         #: place in the order of merges, for a model of merges
         self.order = {pieces[i]: -s for i, s in zip(plain, own, strict=True)} if self.merges else {}
         millionths = [round(1e6 * s) for s in own]
@@ -82,10 +100,13 @@ class Codec:
         if self.unknown >= 0:
             spoken[self.unknown] = " ⁇ ".encode()
         self.spoken = spoken
-        #: what has been committed for a run: its ids, four bytes each, and in how many commits
-        self.known: dict[str, tuple[bytes, int]] = {}
+        #: what has been committed for a run: its ids, four bytes each, the first one of each commit less 2**31
+        self.known = _Memory(self._streamed)
         self.held_chars = 0
-        self.stays: dict[int, dict[int, bool]] = {}
+        #: by symbol: the symbols before it, and whether it may follow them
+        self.stays: dict[int, dict[int | None, bool]] = {}
+        self.states: dict[str, tuple[dict, list, str]] = {}
+        self.steps = 0
 
     def _first_cut(self) -> re.Pattern:
         """Cuts a text of space marks and other characters at boundaries that no piece crosses, as far as classes of
@@ -124,149 +145,168 @@ class Codec:
             if k < len(ranks):
                 ranks[k] = rank(merged + symbols[k + 1], math.inf)
 
+    def _state(self, held: str) -> tuple[dict, list, str]:
+        """What matters of a text whose longest end that starts a piece is held, or whose last character is: the states
+        after it by their characters, filled as they come up, and the arcs that end here, longest first. An arc: how
+        many places ago it begins, its symbol, and its weight or, with merges, whether it may follow a symbol, as far
+        as that is known."""
+        state = self.states.get(held)
+        if state is None:
+            arcs = []
+            for k in range(len(held)):
+                entry = self._entry(held[k:])
+                own = entry and entry[1] or (None if k < len(held) - 1 else (~ord(held[k]), self.penalty))
+                if own:
+                    arcs.append((k - len(held), own[0], self.stays.setdefault(own[0], {_FREE: True}) if self.merges else own[1]))
+            state = self.states[held] = {}, arcs, held
+        return state
+
+    def _entry(self, head: str) -> list | None:
+        """The trie's entry for a text that starts a piece."""
+        node, entry = self.trie, None
+        for c in head:
+            entry = node.get(c)
+            if entry is None:
+                return None
+            node = entry[0]
+        return entry
+
+    def _next(self, held: str, c: str) -> tuple[dict, list, str]:
+        """The state after character c in state held."""
+        went, held = self._state(held)[0], held + c
+        while len(held) > 1 and self._entry(held) is None:
+            held = held[1:]
+        out = went[c] = self._state(held)
+        self.steps += 1
+        return out
+
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a text of space marks and letters, in the runs in which they are committed."""
-        trie, reach, pairs, merges, stays = self.trie, self.reach, self.pairs, self.merges, self.stays
+        reach, pairs, merges = self.reach, self.pairs, self.merges
         block = 4 * reach
         buffer = iter(chars)
-        window = list(itertools.islice(buffer, block))  # characters; what lies before start is committed
+        window = list(itertools.islice(buffer, block))
         n, ended = len(window), len(window) < block
-        back, piece = [-1] * (n + 1), [-1] * (n + 1)  # of the boundary before each character, and the last
-        score = [] if merges else [0] + [_LEAST] * n
-        start = pos = 0  # pos: places before it have been extended
-        free, last, before = True, -1, ""  # free: no piece before could merge with what follows
+        piece, score = [_FREE], [0]  # of each place up to pos: the last symbol, and the weight
+        start = pos = first = 0  # what lies before start is committed, and forgotten before first
+        go, _, held = self._state("")
         while True:
             if n - pos < reach and not ended:
-                if start > 16 * reach:  # committed characters are forgotten
-                    window, piece, score = window[start:], piece[start:], score[start:]
-                    back = [b - start for b in back[start:]]
-                    pos, start = pos - start, 0
+                if start - first > 16 * reach:
+                    drop, first = start - reach, reach
+                    window, piece, score = window[drop:], piece[drop:], score[drop:]
+                    pos, start = pos - drop, reach
                 more = list(itertools.islice(buffer, block))
                 ended = len(more) < block
                 window += more
-                back += [-1] * len(more)
-                piece += [-1] * len(more)
-                if not merges:
-                    score += [_LEAST] * len(more)
                 n = len(window)
             if pos == n:
                 break
-            c = window[pos]
-            if before:
-                last, free = piece[pos], False
-                if before + c not in pairs:  # no piece goes across: all ways meet here
-                    if pos > start:
-                        yield self._ids(window, back, piece, pos, start)
-                    start, free = pos, True
-            before = c
-            entry = trie.get(c)
-            if merges:
-                if not free:
-                    row = stays.get(last)
-                    if row is None:
-                        row = stays[last] = {}
-                if entry is None or entry[1] is None:
-                    sign = ~ord(c)
-                    if back[pos + 1] < 0 and (free or self._stay(last, sign)):
-                        back[pos + 1], piece[pos + 1] = pos, sign
-                j = pos
-                while entry is not None:
-                    j += 1
-                    node, found = entry
-                    if found is not None and back[j] < 0:
-                        i = found[0]
-                        if not free:
-                            fits = row.get(i)
-                            if fits is None:
-                                fits = row[i] = self._stay(last, i)
-                            if fits:
-                                back[j], piece[j] = pos, i
-                        else:
-                            back[j], piece[j] = pos, i
-                    if j == n:
-                        break
-                    entry = node.get(window[j])
-            else:
-                here = score[pos]
-                if (entry is None or entry[1] is None) and here + self.penalty > score[pos + 1]:
-                    score[pos + 1], back[pos + 1], piece[pos + 1] = here + self.penalty, pos, ~ord(c)
-                j = pos
-                while entry is not None:
-                    j += 1
-                    node, found = entry
-                    if found is not None and here + found[1] > score[j]:
-                        score[j], back[j], piece[j] = here + found[1], pos, found[0]
-                    if j == n:
-                        break
-                    entry = node.get(window[j])
-            pos += 1
+            stop = min(n if ended else n - reach + 1, pos - pos % reach + reach)
+            for c in window[pos:stop]:
+                try:
+                    go, arcs, held = go[c]
+                except KeyError:
+                    go, arcs, held = self._next(held, c)
+                if held == c:
+                    pos = len(piece) - 1
+                    if pos and window[pos - 1] + c not in pairs:  # no piece goes across: all ways meet here
+                        if pos > start:
+                            yield self._ids(window, piece, pos, start)
+                        start, piece[pos] = pos, _FREE
+                if merges:
+                    for ago, symbol, fits in arcs:
+                        last = piece[ago]
+                        try:
+                            fit = fits[last]
+                        except KeyError:
+                            fit = fits[last] = self._stay(last, symbol)
+                            self.steps += 1
+                        if fit:
+                            piece.append(symbol)
+                            break
+                else:
+                    most, best = -math.inf, _FREE
+                    for ago, symbol, weight in arcs:
+                        if score[ago] + weight > most:
+                            most, best = score[ago] + weight, symbol
+                    score.append(most)
+                    piece.append(best)
+            pos = stop
             if pos - start >= 2 * reach and not pos % reach:
-                cut = self._meeting(back, pos, start)
+                cut = self._meeting(window, piece, score, pos, start)
                 if cut > start:
-                    yield self._ids(window, back, piece, cut, start)
+                    yield self._ids(window, piece, cut, start)
                     start = cut
         if n > start:
-            yield self._ids(window, back, piece, n, start)
-
-    def _meeting(self, back: list[int], pos: int, start: int) -> int:
-        """The last boundary through which the ways back from all places that are still in reach go."""
-        fronts = {b for b in range(pos, min(len(back), pos + self.reach)) if back[b] >= start} | {pos}
+            yield self._ids(window, piece, n, start)
+
+    def _meeting(self, window: list[str], piece: list[int], score: list[int], pos: int, start: int) -> int:
+        """The last boundary through which the ways back go, from pos and from all places beyond it that arcs from before
+        it reach."""
+        best: dict[int, tuple[float, int]] = {}
+        for at in range(pos + 1 - self.reach, pos):
+            node, j = self.trie, at
+            while j < len(window) and (entry := node.get(window[j])) is not None:
+                j += 1
+                node, own = entry
+                if j > pos and own:
+                    if not self.merges:
+                        if j not in best or score[at] + own[1] > best[j][0]:
+                            best[j] = score[at] + own[1], at
+                    elif j not in best and self._stay(piece[at], own[0]):
+                        best[j] = 0, at
+        fronts = {at for _, at in best.values()} | {pos}
         while len(fronts) > 1:
             far = max(fronts)
             if far <= start:
                 return start
             fronts.remove(far)
-            fronts.add(back[far])
+            fronts.add(far - self.size.get(piece[far], 1))
         return fronts.pop()
 
-    def _ids(self, window: list[str], back: list[int], piece: list[int], end: int, start: int) -> list[int]:
-        out: list[int] = []
+    def _ids(self, window: list[str], piece: list[int], end: int, start: int) -> list[int]:
+        out, size = [], self.size
         while end > start:
-            at = back[end]
-            if piece[end] >= 0:
-                out.append(piece[end])
-            elif self.bytes:
-                out += [self.bytes[b] for b in reversed(window[at].encode())]
+            symbol = piece[end]
+            if symbol >= 0:
+                out.append(symbol)
+                end -= size[symbol]
             else:
-                out.append(self.unknown)
-            end = at
+                end -= 1
+                if self.bytes:
+                    out += [self.bytes[b] for b in reversed(window[end].encode())]
+                else:
+                    out.append(self.unknown)
         out.reverse()
         return out
 
-    def _streamed(self, part: str) -> tuple[bytes, int]:
-        """What stream() commits for a part. That, and what it commits between two boundaries that no piece crosses, is
-        remembered."""
-        known, pairs = self.known, self.pairs
-        ids, commits, start, n = [], 0, 0, len(part)
-        for i in range(1, n + 1):
-            if i == n or part[i - 1 : i + 1] not in pairs:
-                run = part[start:i]
-                found = known.get(run)
-                if found is None:
-                    runs = list(self.stream(run))
-                    self.held_chars += i - start
-                    found = known[run] = array("i", itertools.chain.from_iterable(runs)).tobytes(), len(runs)
-                ids.append(found[0])
-                commits += found[1]
-                start = i
-        if len(ids) > 1:
-            self.held_chars += n
-            known[part] = b"".join(ids), commits
-        return b"".join(ids), commits
+    def _streamed(self, part: str) -> bytes:
+        """What stream() commits for a part: for what lies between two boundaries that no piece crosses, each by itself."""
+        self.held_chars += len(part)
+        if self.pairs.issuperset(map(operator.add, part, part[1:])):
+            ids = []
+            for run in self.stream(part):
+                run[0] -= _FIRST
+                ids += run
+            return array("i", ids).tobytes()
+        cuts = [i for i, pair in enumerate(map(operator.add, part, part[1:]), 1) if pair not in self.pairs]
+        return b"".join([self.known[part[i:j]] for i, j in itertools.pairwise([0, *cuts, len(part)])])
 
     def encode_counted(self, text: str | None) -> tuple[bytes, int]:
         """encode() as little-endian numbers of four bytes, and in how many commits they came."""
         if not text:
             return b"", 0
-        known = self.known
         if self.held_chars > HELD_CHARS:
-            known.clear()
-            self.stays.clear()
+            self.known.clear()
             self.held_chars = 0
-        streamed = self._streamed
-        found = [known.get(p) or streamed(p) for p in self.parts.findall(MARK + text.replace(" ", MARK))]
-        ids, commits = zip(*found, strict=True)
-        return b"".join(ids), sum(commits)
+        if self.steps > HELD_STEPS:
+            self.states.clear()
+            self.stays.clear()
+            self.steps = 0
+        found = map(self.known.__getitem__, self.parts.findall(MARK + text.replace(" ", MARK)))
+        ids = np.frombuffer(b"".join(found), np.int32)
+        return (ids & (_FIRST - 1)).tobytes(), int(np.count_nonzero(ids < 0))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_counted(text)[0], np.int32).tolist()

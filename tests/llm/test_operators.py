@@ -541,6 +541,37 @@ def test_stream_commits_early(codec):
     assert len(runs) > 20 and max(map(len, runs)) < 64
 
 
+def test_pairs_are_asked_once(monkeypatch):
+    """What is known of two symbols outlives the remembered runs, up to a bound of its own."""
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.model_bytes())
+    lib = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_codec.model_bytes())
+    asked, stay = [], codec._stay
+    monkeypatch.setattr(codec, "_stay", lambda left, right: asked.append((left, right)) or stay(left, right))
+    monkeypatch.setattr(sentencepiece_codec, "HELD_CHARS", 1)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("etaoinshr") for _ in range(30)) for _ in range(100)]
+    assert [codec.encode(t) for t in texts] == lib.encode(texts)
+    assert 0 < len(set(asked)) == len(asked)
+    del asked[:]
+    assert [codec.encode(t) for t in texts] == lib.encode(texts) and not asked
+    monkeypatch.setattr(sentencepiece_codec, "HELD_STEPS", 1)
+    assert [codec.encode(t) for t in texts] == lib.encode(texts) and asked
+
+
+def test_weighted_long_runs(codec):
+    """Windows that forget what is committed, and more characters without a piece than whole weights once had room for."""
+    weighted = sentencepiece_codec.Codec(sentencepiece_codec.model_bytes())
+    weighted.merges = False
+    rng = random.Random(9)
+    for text in ("".join(rng.choice(["a", "e", "th", "ing", "er"]) for _ in range(1000)), "ab" * 700):
+        runs = list(weighted.stream(text))
+        assert len(runs) > 5 and [i for run in runs for i in run] == full_viterbi(weighted, text)
+    assert [i for run in weighted.stream(" " * 4000) for i in run] == [weighted.bytes[32]] * 4000
+    long = "".join(rng.choice(["a", "e", "th", "ing", "er"]) for _ in range(4000))
+    lib = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_codec.model_bytes())
+    assert codec.encode(long) == lib.encode(long) == [i for run in codec.stream("▁" + long) for i in run]
+
+
 def test_decoding_is_the_librarys(codec):
     lib = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_codec.model_bytes())
     for text in ("Hello wörld", "  two  spaces ", "\n\ntabs\t", "梦\U0001f600", "a" * 500):
