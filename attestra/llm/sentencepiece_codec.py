@@ -28,7 +28,6 @@ import itertools
 import math
 import operator
 import re
-import weakref
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -54,14 +53,14 @@ _FREE = None  # the symbol before a boundary that no piece crosses
 
 
 class _Memory(dict):
-    """What make(key) gave, by key. The owner of the method make is not kept alive: a codec goes with its last user."""
+    """What make(key) gave, by key."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = weakref.WeakMethod(make)
+        self.make = make
 
     def __missing__(self, key):
-        out = self[key] = self.make()(key)
+        out = self[key] = self.make(key)
         return out
 
 
